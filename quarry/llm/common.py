@@ -14,6 +14,7 @@ REPO = str(Path(__file__).resolve().parents[2])
 
 #: Rows an Arrow batch holds at most. Texts reach 120 kB and more, so the default of 10,000 rows could reach a GB.
 ARROW_ROWS = 1000
+ARROW_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -26,6 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark
 
 
