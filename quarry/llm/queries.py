@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarry.llm import jaccard_join, mixing, substring_dedup, token_counts
+from quarry.llm import jaccard_join, mixing, substring_dedup, token_counts, topk_search
 
-MODULES = (jaccard_join, substring_dedup, token_counts, mixing)
+MODULES = (topk_search, jaccard_join, substring_dedup, token_counts, mixing)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
