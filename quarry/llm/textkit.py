@@ -47,12 +47,15 @@ def groups(sizes: Sequence[int], limit: int = GROUP) -> Iterator[tuple[int, int]
 
 
 class Words:
-    """The words of some texts (UTF-8 bytes): starts and ends in buf, first[d] the number of text d's first word."""
+    """The words of some texts (UTF-8 bytes): starts and ends in buf, first[d] the number of text d's first word.
 
-    def __init__(self, texts: Sequence[bytes]):
+    space_bytes: which bytes stand between words; the newline must be one of them.
+    """
+
+    def __init__(self, texts: Sequence[bytes], space_bytes: np.ndarray = SPACE):
         self.buf = b"\n".join(texts) + b"\n" if texts else b""
         data = np.frombuffer(self.buf, np.uint8)
-        space = SPACE[data]
+        space = space_bytes[data]
         edge = np.flatnonzero(np.diff(space, prepend=True))
         self.starts, self.ends = edge[::2], edge[1::2]
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
