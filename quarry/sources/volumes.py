@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 
 from quarry.sources.containers import READERS, Row, _row
+from quarry.sources.hfs import hfs
 
 #: Entries a directory walk yields at most before it says so, and levels it goes down.
 ENTRIES, LEVELS = 1_000_000, 64
@@ -178,4 +179,4 @@ def cue_sheet(b: bytes) -> Iterator[Row] | None:
 
 
 #: Probed after the readers of containers.
-ALL = [*READERS, iso9660, fat, uuencode, cue_sheet]
+ALL = [*READERS, hfs, iso9660, fat, uuencode, cue_sheet]
