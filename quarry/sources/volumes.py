@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 from quarry.sources.containers import READERS, Row, _row
 from quarry.sources.hfs import hfs
+from quarry.sources.udif import udif
 
 #: Entries a directory walk yields at most before it says so, and levels it goes down.
 ENTRIES, LEVELS = 1_000_000, 64
@@ -179,4 +180,4 @@ def cue_sheet(b: bytes) -> Iterator[Row] | None:
 
 
 #: Probed after the readers of containers.
-ALL = [*READERS, hfs, iso9660, fat, uuencode, cue_sheet]
+ALL = [*READERS, udif, hfs, iso9660, fat, uuencode, cue_sheet]
