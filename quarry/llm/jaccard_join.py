@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common, textkit
@@ -128,8 +128,9 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return words
 
 
-def _named_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set) of the documents whose id the bitmap holds: all of ids, and few others."""
+def _named_sets(docs: DataFrame, pairs: DataFrame, folder: str, name: str, k: int) -> DataFrame:
+    """(id, set) of the documents whose id the bitmap holds: all that the pairs name, and few others."""
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
     words = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
     def run(batches):
@@ -143,7 +144,7 @@ def _named_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 for a in range(0, out.num_rows, 64):
                     yield out.slice(a, 64)
 
-    return docs.where("id is not null").withColumn("bit", _bit(F.col("id"))).mapInArrow(run, "id bigint, set binary")
+    return common.table(docs.where("id is not null").withColumn("bit", _bit(F.col("id"))).mapInArrow(run, "id bigint, set binary"), folder, name)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -188,16 +189,13 @@ def jaccard_components(docs: DataFrame, folder: str, k: int = K, num: int = NUM,
     reps = common.table(reps, folder, "reps")
 
     counts = spark.sparkContext.broadcast(_sketch(docs, k))
-    post = _postings(docs, counts, k, num, den).repartition("token")
-    several = post.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
-    live = post.join(several, "token").join(reps.select("id").distinct(), "id", "left_semi")
-    live = common.table(live.select("token", "id", "n", "pos"), folder, "live")
-    sets = common.table(_named_sets(docs, live.select("id"), k), folder, "sets")
-    sets = sets.dropDuplicates(["id", "set"])
+    of_token = Window.partitionBy("token")
+    post = _postings(docs, counts, k, num, den).repartition("token").withColumns({"low": F.min("id").over(of_token), "high": F.max("id").over(of_token)}).where("low < high")
+    live = common.table(post.join(reps.select("id").distinct(), "id", "left_semi").select("token", "id", "n", "pos"), folder, "live")
 
     first = live.join(live.groupBy("token").agg(F.min("id").alias("a")), "token").where("a < id").select("a", F.col("id").alias("b")).distinct()
     first = common.table(_suffix_bound(first, reps, num, den), folder, "first")
-    links = common.table(_verified(first, sets, num, den), folder, "links-1")
+    links = common.table(_verified(first, _named_sets(docs, first, folder, "sets-1", k), num, den), folder, "links-1")
     comp = common.components(links, folder, "cc1")
 
     named = live.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -212,7 +210,7 @@ def jaccard_components(docs: DataFrame, folder: str, k: int = K, num: int = NUM,
     met = met.where((den + num) * (F.col("o") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1) >= num * (F.col("nx") + F.col("ny")))
     second = met.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     second = common.table(_suffix_bound(second, reps, num, den), folder, "second")
-    links = common.table(links.unionAll(_verified(second, sets, num, den)), folder, "links-2")
+    links = common.table(links.unionAll(_verified(second, _named_sets(docs, second, folder, "sets-2", k), num, den)), folder, "links-2")
     comp = common.components(links, folder, "cc2")
 
     out = info.select("id", "n", "f1", "f2").join(classes, ["f1", "f2"], "left")
