@@ -2,7 +2,7 @@
 
 A document is the set of its distinct 5-word shingles; two link when 100 * |A & B| >= 80 * |A | B|. Steps:
 
-1. Every text once: the set's size, a 128-bit fingerprint and a histogram of its shingles over 64 ranges of their hash.
+1. Every text once: the set's size, a 128-bit fingerprint and the parities of its shingles' numbers in 1024 ranges of their hash.
    Documents with equal sets are one class from here on, held by its smallest id: a thousand copies cost one.
 2. Every shingle is counted into a sketch of 2**18 counters, whatever the input's size: the global order is (count of
    the shingle's counter, hash). Any total order is right for prefix filtering; a rare-first one keeps lists short.
@@ -11,8 +11,8 @@ A document is the set of its distinct 5-word shingles; two link when 100 * |A &
 4. First round: each list pairs its smallest member with each other one, so a list costs its length, not its square.
    Pairs that pass the filters are verified; the links' components are found.
 5. Second round: only lists that hold more than one component still matter, and only pairs across components. They pass the length
-   filter, the positional filter (shared prefix shingles and what may follow the last) and the suffix filter (the
-   histograms bound the overlap); pairs of the first round are left out, so each pair is verified once.
+   filter, the positional filter (shared prefix shingles and what may follow the last) and the suffix filter (two
+   sets differ by a shingle at least wherever their parities do, which bounds the overlap); pairs of the first round are left out, so each pair is verified once.
 
 A link inside one component can't change the components, so leaving those pairs out loses nothing. Verification counts
 common 64-bit shingle hashes of both whole sets.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common, textkit
@@ -31,7 +31,7 @@ K, NUM, DEN = 5, 80, 100
 SKETCH_BITS = 18
 #: Bits of the filter that spares sets no candidate pair names; its size is fixed, a full one only spares less.
 FILTER_BITS = 23
-BINS = 64
+BINS = 1024
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -51,19 +51,19 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         u = textkit.U
         for batch in batches:
-            n, f1, f2, hist = [], [], [], []
+            n, f1, f2, odd = [], [], [], []
             for s in _sets(_texts(batch), k):
                 n.append(len(s))
                 f1.append(int(textkit.mix(s ^ u(0x5BD1E9955BD1E995)).sum(dtype=u).astype(np.int64)))
                 f2.append(int(textkit.mix(s + u(0x27D4EB2F165667C5)).sum(dtype=u).astype(np.int64)))
-                hist.append(np.bincount((s >> u(58)).astype(np.int64), minlength=BINS).astype(np.int32))
-            flat = pa.array(np.concatenate(hist) if hist else np.zeros(0, np.int32), pa.int32())
+                odd.append(np.packbits(np.bincount((s >> u(54)).astype(np.int64), minlength=BINS).astype(np.uint8) & 1).view(np.int64))
+            flat = pa.array(np.concatenate(odd) if odd else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BINS, pa.int32()), flat)],
-                names=["id", "n", "f1", "f2", "hist"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (BINS // 64), pa.int32()), flat)],
+                names=["id", "n", "f1", "f2", "odd"],
             )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, hist array<int>")
+    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, odd array<bigint>")
 
 
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -164,13 +164,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _fits(n1: str, n2: str, odd1: str, odd2: str, num: int, den: int) -> Column:
+    """Whether sizes and parities leave room for the overlap that a link needs."""
+    apart = F.lit(0)
+    for i in range(BINS // 64):
+        apart = apart + F.bit_count(F.get(odd1, F.lit(i)).bitwiseXOR(F.get(odd2, F.lit(i))))
+    return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & ((den - num) * (F.col(n1) + F.col(n2)) >= (den + num) * apart)
+
+
 def _suffix_bound(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sizes and histograms leave room for the overlap that a link needs."""
-    p = pairs.join(info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha")), "a")
-    p = p.join(info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb")), "b")
-    room = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    fits = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & ((den + num) * room >= num * (F.col("na") + F.col("nb")))
-    return p.where(fits).select("a", "b").distinct()
+    p = pairs.join(info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
+    p = p.join(info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
+    return p.where(_fits("na", "nb", "oa", "ob", num, den)).select("a", "b").distinct()
 
 
 def jaccard_components(docs: DataFrame, folder: str, k: int = K, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,7 +190,7 @@ def jaccard_components(docs: DataFrame, folder: str, k: int = K, num: int = NUM,
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     info = common.table(_summaries(docs, k), folder, "info")
     classes = common.table(info.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep")), folder, "classes")
-    reps = info.join(classes, ["f1", "f2"]).where("id = rep").select("id", "n", "hist").dropDuplicates(["id", "n"])
+    reps = info.join(classes, ["f1", "f2"]).where("id = rep").select("id", "n", "odd").dropDuplicates(["id", "n", "odd"])
     reps = common.table(reps, folder, "reps")
 
     counts = spark.sparkContext.broadcast(_sketch(docs, k))
@@ -200,16 +205,16 @@ def jaccard_components(docs: DataFrame, folder: str, k: int = K, num: int = NUM,
 
     named = live.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    open_ = common.table(named.join(mixed, "token", "left_semi"), folder, "open")
+    open_ = common.table(named.join(mixed, "token", "left_semi").join(reps.select("id", "n", "odd"), ["id", "n"]), folder, "open")
     owners = open_.select("token", "comp").distinct()
     across = owners.withColumnRenamed("comp", "c1").join(owners.withColumnRenamed("comp", "c2"), "token").where("c1 < c2")
-    side = lambda s, c: open_.select("token", F.col("comp").alias(c), F.col("id").alias("i" + s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s))
+    side = lambda s, c: open_.select("token", F.col("comp").alias(c), F.col("id").alias("i" + s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), F.col("odd").alias("o" + s))
     met = across.join(side("x", "c1"), ["token", "c1"]).join(side("y", "c2"), ["token", "c2"])
-    met = met.where((den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")) & ((den + num) * (F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))) >= num * (F.col("nx") + F.col("ny"))))
+    met = met.where(_fits("nx", "ny", "ox", "oy", num, den) & ((den + num) * (F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))) >= num * (F.col("nx") + F.col("ny"))))
     met = met.groupBy("ix", "iy", "nx", "ny").agg(F.count("*").alias("o"), F.max("px").alias("px"), F.max("py").alias("py"))
     met = met.where((den + num) * (F.col("o") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1) >= num * (F.col("nx") + F.col("ny")))
     second = met.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = common.table(_suffix_bound(second, reps, num, den), folder, "second")
+    second = common.table(second, folder, "second")
     links = common.table(links.unionAll(_verified(second, _named_sets(docs, second, folder, "sets-2", k), num, den)), folder, "links-2")
     comp = common.components(links, folder, "cc2")
 
