@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,8 +69,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     known = labels.select(F.col("doc_id").cast("long").alias("_known"), F.col(label).cast("int").alias("_label")).where("_known is not null and _label in (0, 1)").where(~held_out(F.col("_known"), folds, fold))
     known = known.groupBy("_known").agg(F.max("_label").alias("_label"))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}  # two rows
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_known"), "_known")
-    known = known.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample).drop("_n")
+    of = lambda k: known.where(F.col("_label") == k).orderBy(F.xxhash64("_known"), "_known").limit(sample)
+    known = of(0).unionByName(of(1))
     taught = docs.select(F.col(id_col).cast("long").alias("_known"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_known")
     rows = taught.select("_known", "_label", "_text").toArrow().sort_by([("_known", "ascending"), ("_text", "ascending")])  # of 2 * sample labels
     y = rows["_label"].to_numpy().astype(np.int64)
