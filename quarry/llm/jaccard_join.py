@@ -10,8 +10,8 @@ A document is the set of its distinct 5-word shingles; two link when 100 * |A &
    Lists of one document go, the others stay (live postings).
 4. First round: each list pairs its smallest member with each other one, so a list costs its length, not its square.
    Pairs that pass the filters are verified; the links' components are found.
-5. Second round: only lists that hold more than one component still matter, and only pairs across components. They pass the length
-   filter, the positional filter (shared prefix shingles and what may follow the last) and the suffix filter (two
+5. Second round: only lists that hold more than one component still matter, and only pairs across components (a list's largest
+   component is joined with the rest of the list, never with itself). They pass the length filter, the positional filter (shared prefix shingles and what may follow the last) and the suffix filter (two
    sets differ by a shingle at least wherever their parities do, which bounds the overlap); pairs of the first round are left out, so each pair is verified once.
 
 A link inside one component can't change the components, so leaving those pairs out loses nothing. Verification counts
@@ -31,7 +31,7 @@ K, NUM, DEN = 5, 80, 100
 SKETCH_BITS = 18
 #: Bits of the filter that spares sets no candidate pair names; its size is fixed, a full one only spares less.
 FILTER_BITS = 23
-BINS = 1024
+BINS, COARSE = 1024, 4
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -172,6 +172,18 @@ def _fits(n1: str, n2: str, odd1: str, odd2: str, num: int, den: int) -> Column:
     return (den * F.least(n1, n2) >= num * F.greatest(n1, n2)) & ((den - num) * (F.col(n1) + F.col(n2)) >= (den + num) * apart)
 
 
+def _coarse(odd: str) -> list[Column]:
+    """The parities of COARSE * 64 wider ranges, as columns q0 ...: what postings carry along."""
+    words = BINS // 64
+    out = []
+    for i in range(COARSE):
+        q = F.get(odd, F.lit(i))
+        for j in range(i + COARSE, words, COARSE):
+            q = q.bitwiseXOR(F.get(odd, F.lit(j)))
+        out.append(q.alias(f"q{i}"))
+    return out
+
+
 def _suffix_bound(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
     p = pairs.join(info.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
     p = p.join(info.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b")
@@ -204,17 +216,20 @@ def jaccard_components(docs: DataFrame, folder: str, k: int = K, num: int = NUM,
     comp = common.components(links, folder, "cc1")
 
     named = live.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = named.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    open_ = common.table(named.join(mixed, "token", "left_semi").join(reps.select("id", "n", "odd"), ["id", "n"]), folder, "open")
-    owners = open_.select("token", "comp").distinct()
-    across = owners.withColumnRenamed("comp", "c1").join(owners.withColumnRenamed("comp", "c2"), "token").where("c1 < c2")
-    side = lambda s, c: open_.select("token", F.col("comp").alias(c), F.col("id").alias("i" + s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), F.col("odd").alias("o" + s))
-    met = across.join(side("x", "c1"), ["token", "c1"]).join(side("y", "c2"), ["token", "c2"])
-    met = met.where(_fits("nx", "ny", "ox", "oy", num, den) & ((den + num) * (F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))) >= num * (F.col("nx") + F.col("ny"))))
+    members = named.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    mixed = members.groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("token", "main")
+    open_ = common.table(named.join(mixed, "token").join(reps.select("id", "n", *_coarse("odd")), ["id", "n"]), folder, "open")
+    side = lambda s, rows: rows.select("token", F.col("comp").alias("c" + s), F.col("id").alias("i" + s), F.col("n").alias("n" + s), F.col("pos").alias("p" + s), *[F.col(f"q{i}").alias(f"q{i}{s}") for i in range(COARSE)])
+    rest, apart = open_.where("comp <> main"), F.lit(0)
+    for i in range(COARSE):
+        apart = apart + F.bit_count(F.col(f"q{i}x").bitwiseXOR(F.col(f"q{i}y")))
+    fits = (den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")) & ((den - num) * (F.col("nx") + F.col("ny")) >= (den + num) * apart)
+    fits = fits & ((den + num) * (F.least("px", "py") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))) >= num * (F.col("nx") + F.col("ny")))
+    met = side("x", rest).join(side("y", open_.where("comp = main")), "token").where(fits).unionByName(side("x", rest).join(side("y", rest), "token").where(F.col("cx") < F.col("cy")).where(fits))
     met = met.groupBy("ix", "iy", "nx", "ny").agg(F.count("*").alias("o"), F.max("px").alias("px"), F.max("py").alias("py"))
     met = met.where((den + num) * (F.col("o") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1) >= num * (F.col("nx") + F.col("ny")))
     second = met.select(F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = common.table(second, folder, "second")
+    second = common.table(_suffix_bound(second, reps, num, den), folder, "second")
     links = common.table(links.unionAll(_verified(second, _named_sets(docs, second, folder, "sets-2", k), num, den)), folder, "links-2")
     comp = common.components(links, folder, "cc2")
 
