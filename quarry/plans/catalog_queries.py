@@ -154,6 +154,16 @@ def bounded_follow(t: Tables):
     return lookups.follow(edges, "event_id", "to", 10)
 
 
+@query("""WITH RECURSIVE k AS (SELECT count(*) AS c FROM events), g AS (SELECT event_id AS s, (event_id * 7 + 3) % c AS d FROM events, k),
+w AS (SELECT s AS source, [s] AS seen, FALSE AS looped, 0 AS n FROM g UNION ALL SELECT source, CASE WHEN d IS NULL OR list_contains(seen, d) THEN seen ELSE list_append(seen, d) END, looped OR coalesce(list_contains(seen, d), FALSE), n + 1 FROM w LEFT JOIN g ON g.s = seen[-1] WHERE n < 10)
+SELECT source, seen[-1] AS last, (len(seen) - 1)::BIGINT AS hops, looped FROM w WHERE n = 10""")
+def bounded_follow_all(t: Tables):
+    """bounded_follow over every event: the targets are folded to the table's own count."""
+    n = t.events.agg(F.count("*").alias("n"))
+    edges = t.events.crossJoin(F.broadcast(n)).select("event_id", ((F.col("event_id") * 7 + 3) % F.col("n")).alias("to"))
+    return lookups.follow(edges, "event_id", "to", 10)
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE (p_brand, p_partkey) > ('Brand#17', 100) ORDER BY p_brand, p_partkey LIMIT 200")
 def page_cursor(t: Tables):
     return browse.page(t.part, ["p_brand", "p_partkey"], 200, ("Brand#17", 100)).select("p_partkey", "p_name")
