@@ -27,6 +27,14 @@ def fragmentation(extents: DataFrame, owner: str, start: str, count: str) -> Dat
     return pieces.agg(F.count("*").alias("files"), F.count_if(F.col("pieces") > 1).alias("split"), F.max("pieces").cast("long").alias("most"), F.sum("blocks").cast("long").alias("blocks"))
 
 
+def blocks_used(extents: DataFrame, owner: str, start: str, count: str) -> DataFrame:
+    """(owner, used): how many different blocks an owner's extents hold. Extents that overlap count once, empty ones don't; no extent is opened into blocks."""
+    end = F.col(start) + F.col(count)
+    before = F.max(end).over(Window.partitionBy(owner).orderBy(start, count).rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(end - F.greatest(F.col(start), F.coalesce(before, F.col(start))), F.lit(0))
+    return extents.where(F.col(count) > 0).withColumn("_fresh", fresh).groupBy(owner).agg(F.sum("_fresh").cast("long").alias("used"))
+
+
 def first_difference(fields: Sequence[tuple[Column, Column]]) -> Column:
     """The number (from 1) of the first pair that differs, nulls being values; 0 where none does."""
     out = None

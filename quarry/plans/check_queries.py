@@ -36,6 +36,12 @@ def bitmap_usage_by_owner(t: Tables):
     return blocks.groupBy("owner").agg(F.countDistinct("b").alias("used"))
 
 
+@query(f"WITH {EXTENTS_SQL} SELECT owner, count(DISTINCT b)::BIGINT AS used FROM (SELECT owner, unnest(range(start, start + count)) AS b FROM x) GROUP BY 1")
+def bitmap_usage_by_owner_all(t: Tables):
+    """bitmap_usage_by_owner for every owner."""
+    return checks.blocks_used(extents(t), "owner", "start", "count")
+
+
 @query(f"WITH {EXTENTS_SQL} SELECT (b // 4096)::BIGINT AS bucket, count(DISTINCT b)::BIGINT AS used FROM (SELECT unnest(range(start, start + count)) AS b FROM x) GROUP BY 1")
 def bitmap_usage(t: Tables):
     spans = extents(t).where("count > 0").groupBy("start").agg(F.max("count").alias("count"))
@@ -131,6 +137,12 @@ def next_free_id(t: Tables):
     return ordered.next_free(t.orders.where("o_orderkey % 1000 <> 777"), "o_orderkey", 128, 32767)
 
 
+@query("WITH u AS (SELECT DISTINCT l_orderkey AS i FROM lineitem) SELECT coalesce((SELECT min(c.i) FROM (SELECT unnest(range(128, 32768)) AS i) c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.i = c.i)), (SELECT max(c.i) FROM (SELECT unnest(range(0, 128)) AS i) c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.i = c.i)))::BIGINT AS next_id")
+def next_free_id_all(t: Tables):
+    """next_free_id with every line's order as a used id: the gaps are the orders without lines."""
+    return ordered.next_free(t.lineitem, "l_orderkey", 128, 32767)
+
+
 @query("SELECT p_partkey, CASE WHEN n = 1 THEN p_name ELSE regexp_extract(p_name, '^(.*?)(\\.[^.]*)?$', 1) || ' ~' || n || regexp_extract(p_name, '^(.*?)(\\.[^.]*)?$', 2) END AS unique_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS n FROM part)")
 def unique_names(t: Tables):
     return ordered.unique_names(t.part, "p_name", ["p_partkey"]).select("p_partkey", "unique_name")

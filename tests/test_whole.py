@@ -22,3 +22,27 @@ def test_bounded_follow_takes_every_event(spark):
                 seen.append(nxt)
         want.append((i, seen[-1], len(seen) - 1, looped))
     assert len(ids) > 500 and got(spark, "bounded_follow_all", "source", "last", "hops", "looped") == sorted(want)
+
+
+def test_cuts_by_modulo_have_whole_forms(spark):
+    t = Tables(spark, SF)
+    lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg({"l_quantity": "sum"}).collect()
+    used, parts = {}, {r[0] for r in t.part.select("p_partkey").collect()}
+    for owner, start, n in lines:
+        used.setdefault(owner, set()).update(range(start, start + int(n)))
+    assert got(spark, "bitmap_usage_by_owner_all", "owner", "used") == sorted((o, len(b)) for o, b in used.items() if b)
+    assert got(spark, "extent_range_join_all", "owner", "start", "block") == sorted((o, s, b) for o, s, n in lines for b in range(s, s + int(n)) if b in parts)
+    assert got(spark, "next_free_id_all", "next_id") == [(min(set(range(128, 32768)) - set(used)),)]
+    sides = {}, {}
+    for c, k, day, *v in sorted(tuple(r) for r in t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority").collect()):
+        sides[day.year >= 2000][c] = v
+    a, b = sides
+    change = {c: "added" if c not in a else "removed" if c not in b else "changed" for c in {*a, *b} if a.get(c) != b.get(c)}
+    assert change and got(spark, "snapshot_diff_all", "o_custkey", "change") == sorted(change.items())
+
+
+def test_blocks_used_counts_overlaps_once(spark):
+    from quarry.operators import checks
+
+    x = spark.createDataFrame([(2, 0, 10), (2, 3, 2), (2, 8, 4), (2, 20, 1), (3, 5, 0), (4, 7, 3), (4, 7, 3)], "o int, s long, n long")
+    assert sorted(tuple(r) for r in checks.blocks_used(x, "o", "s", "n").collect()) == [(2, 13), (4, 3)]
