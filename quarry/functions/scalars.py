@@ -54,6 +54,31 @@ def hex_dump(data: Column, length: int) -> Column:
     return F.trim(F.regexp_replace(F.hex(F.substring(data, 1, length)), "(..)", "$1 "))
 
 
+_HIGH = "".join(map(chr, range(128, 256)))
+
+
+def mac_roman(data: Column) -> Column:
+    """Bytes in Mac OS Roman as text."""
+    return F.translate(F.decode(data, "ISO-8859-1"), _HIGH, _HIGH.encode("latin-1").decode("mac_roman"))
+
+
+#: What a dump shows for each byte, as ISO-8859-1 character: control characters as dots, Mac OS Roman above 7F.
+_SHOWN = {chr(b): "." if b < 0x20 or b == 0x7F else bytes([b]).decode("mac_roman") for b in range(256) if not 0x20 <= b < 0x7F}
+
+
+def hex_lines(data: Column) -> Column:
+    """All bytes as a dump, a line for every 16: offset, upper-case hex pairs in two groups of 8, the bytes as Mac OS Roman (control characters as dots)."""
+
+    def line(i: Column) -> Column:
+        b = F.substring(data, i * 16 + 1, F.lit(16))
+        pairs = F.rpad(F.regexp_replace(F.hex(b), "(..)", "$1 "), 48, " ")
+        shown = F.translate(F.decode(b, "ISO-8859-1"), "".join(_SHOWN), "".join(_SHOWN.values()))
+        return F.concat(F.lpad(F.hex(i.cast("bigint") * 16), 8, "0"), F.lit("  "), F.substring(pairs, 1, 24), F.lit(" "), F.substring(pairs, 25, 24), F.lit(" "), shown, F.lit("\n"))
+
+    n = F.octet_length(data)
+    return F.when(n == 0, "").when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 16).cast("int")), line), ""))
+
+
 def newlines(text: Column) -> Column:
     """CR LF and CR as LF."""
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

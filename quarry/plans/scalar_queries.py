@@ -45,6 +45,12 @@ def hex_dump(t: Tables):
     return t.documents.where(F.substring("text", 1, 8).rlike(r"^[ -~]*\z")).select("doc_id", scalars.hex_dump(F.col("text").cast("binary"), 8).alias("dump"))
 
 
+@query()
+def hex_dump_all(t: Tables):
+    """Every document's whole dump."""
+    return t.documents.select("doc_id", scalars.hex_lines(F.col("text").cast("binary")).alias("dump"))
+
+
 @query("SELECT doc_id, md5(replace(replace(replace(text, chr(10), chr(13)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest FROM documents")
 def newline_norm(t: Tables):
     return t.documents.select("doc_id", F.md5(scalars.newlines(F.replace("text", F.lit("\n"), F.lit("\r")))).alias("digest"))
@@ -93,6 +99,12 @@ def template_fields(t: Tables):
     return templates.fixed_fields(d.select("doc_id", F.col("text").cast("binary").alias("data")), "data", [("word", "DWRD"), ("byte", "DBYT"), ("code", "TNAM")])
 
 
+@query()
+def template_fields_all(t: Tables):
+    """template_fields of every document, whatever its first bytes are; fields that the text is too short for are null."""
+    return templates.fixed_fields(t.documents.select("doc_id", F.col("text").cast("binary").alias("data")), "data", [("word", "DWRD"), ("byte", "DBYT"), ("code", "TNAM")])
+
+
 @query()
 def template_lists(t: Tables):
     d = t.documents.select("doc_id", F.col("text").cast("binary").alias("data"))

@@ -46,3 +46,37 @@ def test_blocks_used_counts_overlaps_once(spark):
 
     x = spark.createDataFrame([(2, 0, 10), (2, 3, 2), (2, 8, 4), (2, 20, 1), (3, 5, 0), (4, 7, 3), (4, 7, 3)], "o int, s long, n long")
     assert sorted(tuple(r) for r in checks.blocks_used(x, "o", "s", "n").collect()) == [(2, 13), (4, 3)]
+
+
+def plain_dump(b):
+    out = []
+    for at in range(0, len(b), 16):
+        line = b[at : at + 16]
+        pairs = [f"{x:02X} " for x in line] + ["   "] * (16 - len(line))
+        shown = "".join("." if x < 0x20 or x == 0x7F else bytes([x]).decode("mac_roman") for x in line)
+        out.append(f"{at:08X}  {''.join(pairs[:8])} {''.join(pairs[8:])} {shown}\n")
+    return "".join(out)
+
+
+def plain_fields(b):
+    word = int.from_bytes(b[:2], "big", signed=True) if len(b) >= 2 else None
+    return word, int.from_bytes(b[2:3], "big", signed=True) if len(b) >= 3 else None, b[3:7].decode("mac_roman") if len(b) >= 7 else None
+
+
+def test_dump_and_fields_take_every_document(spark):
+    docs = {i: x.encode() for i, x in Tables(spark, SF).documents.select("doc_id", "text").collect()}
+    assert any(max(b[:8]) > 0x7F for b in docs.values())
+    assert got(spark, "hex_dump_all", "doc_id", "dump") == sorted((i, plain_dump(b)) for i, b in docs.items())
+    assert got(spark, "template_fields_all", "doc_id", "word", "byte", "code") == sorted((i, *plain_fields(b)) for i, b in docs.items())
+
+
+def test_dump_and_fields_of_any_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import scalars, templates
+
+    rows = [bytes(range(256)), b"", b"\x00", b"a" * 16, b"b" * 17, b"\xff\xfe\x80\xe9", b"xy", None]
+    d = spark.createDataFrame([(i, b and bytearray(b) if b is not None else None) for i, b in enumerate(rows)], "i int, data binary")
+    assert {r.i: r.dump for r in d.select("i", scalars.hex_lines(F.col("data")).alias("dump")).collect()} == {i: None if b is None else plain_dump(b) for i, b in enumerate(rows)}
+    fields = templates.fixed_fields(d.where("data is not null"), "data", [("word", "DWRD"), ("byte", "DBYT"), ("code", "TNAM")])
+    assert {r.i: (r.word, r.byte, r.code) for r in fields.collect()} == {i: plain_fields(b) for i, b in enumerate(rows) if b is not None}
