@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def islands(rows: DataFrame, at: str, partition: Sequence[str] = ()) -> DataFrame:
@@ -46,13 +48,36 @@ def running_offset(rows: DataFrame, partition: str, order: Sequence[str], count:
 
 
 def unique_names(rows: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """rows with unique_name: the name, with ~2, ~3 ... before its extension for later rows of the same name without regard to case.
+    """rows with unique_name: in order, the name, or with ~2, ~3 ... before its extension the first that no earlier row has got, without regard to case.
 
-    One round: a name made here may still equal another row's own name.
+    Names that can meet agree in what is left of them without ~ and number; such a group is one sorted run, of which the names given so far are held.
     """
-    n = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(*order))
-    stem, extension = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("_n", n).withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ~"), F.col("_n").cast("string"), extension))).drop("_n")
+    stem, extension = F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", 2)
+    root = F.lower(F.concat(F.regexp_replace(stem, r"( ~[0-9]+)+\z", ""), extension))
+    schema = StructType([*rows.schema.fields, StructField("unique_name", StringType())])
+
+    def run(batches):
+        root, taken, tried = None, set(), {}
+        for batch in batches:
+            out = []
+            for r, x in zip(batch.column("_root").to_pylist(), batch.column(name).to_pylist(), strict=True):
+                if x is None:
+                    out.append(None)
+                    continue
+                if r != root:
+                    root, taken, tried = r, set(), {}
+                dot, y = x.rfind("."), x
+                a, b = (x[:dot], x[dot:]) if dot > 0 else (x, "")
+                n = tried.get(x.lower(), 2)
+                while y.lower() in taken:
+                    y, n = f"{a} ~{n}{b}", n + 1
+                tried[x.lower()] = n
+                taken.add(y.lower())
+                out.append(y)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rows_columns), pa.array(out, pa.string())], names=[*rows_columns, "unique_name"])
+
+    rows_columns = rows.columns
+    return rows.withColumn("_root", root).repartition("_root").sortWithinPartitions("_root", *order).mapInArrow(run, schema)
 
 
 def latest(changes: DataFrame, key: str, version: str, values: Sequence[str]) -> DataFrame:

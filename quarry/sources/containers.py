@@ -74,10 +74,11 @@ def mac_binary(b: bytes) -> Iterator[Row] | None:
 
 
 def bin_hex(b: bytes) -> Iterator[Row] | None:
-    """Text with its banner: name, type, creator, flags and both forks, each with a CRC."""
-    if b"BinHex" not in b[:4096]:
+    """Text with its banner, which mail headers of up to 64 KiB may precede: name, type, creator, flags and both forks, each with a CRC."""
+    banner = b[: 1 << 16].find(b"(This file must be converted with BinHex")
+    if banner < 0 and b"BinHex" not in b[:4096] or banner >= 4096 and b"\0" in b[:banner]:
         return None
-    raw = from_hqx(b)
+    raw = from_hqx(b[max(banner, 0) :])
     if raw is None or len(raw) < 22 or len(raw) < 22 + raw[0]:
         return iter([_row("BinHex 4.0", diagnostic="text can't be decoded")])
     n = raw[0]

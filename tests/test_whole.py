@@ -80,3 +80,29 @@ def test_dump_and_fields_of_any_bytes(spark):
     assert {r.i: r.dump for r in d.select("i", scalars.hex_lines(F.col("data")).alias("dump")).collect()} == {i: None if b is None else plain_dump(b) for i, b in enumerate(rows)}
     fields = templates.fixed_fields(d.where("data is not null"), "data", [("word", "DWRD"), ("byte", "DBYT"), ("code", "TNAM")])
     assert {r.i: (r.word, r.byte, r.code) for r in fields.collect()} == {i: plain_fields(b) for i, b in enumerate(rows) if b is not None}
+
+
+def test_unique_names_counts_on_until_free(spark):
+    from quarry.operators import ordered
+
+    names = ["x", "x", "X ~2", "x", "x ~2", "a.b.txt", "A.B ~2.TXT", "a.b.txt", ".x", ".X", "", "", None, None]
+    d = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    taken, want = set(), {}
+    for i, x in enumerate(names):
+        y, k = x, 2
+        dot = x.rfind(".") if x else -1
+        while x is not None and y.lower() in taken:
+            y, k = f"{x[:dot]} ~{k}{x[dot:]}" if dot > 0 else f"{x} ~{k}", k + 1
+        want[i] = y
+        taken |= {y.lower()} if x is not None else set()
+    assert want[2] == "X ~2 ~2" and {r.i: r.unique_name for r in ordered.unique_names(d, "n", ["i"]).collect()} == want
+
+
+def test_bin_hex_after_long_mail_headers():
+    from quarry.sources import containers, writers
+
+    hqx = writers.bin_hex("n", b"TEXT", b"ttxt", b"data" * 99, b"rsrc")
+    for head in (b"Received: by BinHex relay: a\n", b"Received: from x\n" * 1000, b"Subject: BinHex: of n\n" + b"Received: from x\n" * 3000):
+        r = list(containers.probe(head + hqx))
+        assert [(x["format"], x["data"], x["resource"], x["diagnostic"]) for x in r] == [("BinHex 4.0", b"data" * 99, b"rsrc", None)], len(head)
+    assert list(containers.probe(b"Received: from x\n" * 4000 + hqx)) == []
