@@ -1,8 +1,8 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy: training and scoring of windows of words.
 
-A word's inputs say how much more often it, and its character grams, stand in labelled texts of either label (Lexis). While training, a text
-does not count towards the inputs of its own words: words that only it has look new, as they will in other texts, and can't be learned by
-heart. Both directions run side by side as the first axis of every array.
+A word's inputs are two learned vectors: its own, if LEAST training texts or more have it, and the scaled sum of those of its character grams. Both are
+parameters of the network and fitted with the rest of it by the gradient of the loss; nothing is counted from the labels. While training, words' own vectors
+are dropped at random, so that grams must do without them. Both directions run side by side as the first axis of every array.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ from quarry.llm.hashtable import HashTable
 
 U = textkit.U
 WINDOW, STRIDE = 48, 38
-GRAMS, BUCKETS = (3, 4, 5), 1 << 16
-INPUTS, HIDDEN, ATTENTION = 6, 12, 8
-#: How many unlabelled texts the odds of a word start from.
-PRIOR = 1.0
+GRAMS, BUCKETS = (3, 4, 5, 6), 1 << 15
+#: Sizes of the words' own vectors, of the grams' vectors and of the layers.
+WORD, GRAM, HIDDEN, ATTENTION = 6, 10, 12, 8
+INPUTS = WORD + GRAM
+#: Training texts that a word with a vector of its own stands in at least.
+LEAST = 4
 #: Bytes between words: all of ASCII but letters and digits.
 APART = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
@@ -53,50 +55,61 @@ def _sig(x):
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-class Lexis:
-    """How many texts of label 0 and 1 hold a word or a character gram, and what follows for a word."""
-
-    def __init__(self, keys: np.ndarray, word_texts: np.ndarray, gram_texts: np.ndarray, totals: np.ndarray):
-        """keys: hashes of the known words; word_texts (words, 2) and gram_texts (BUCKETS, 2): texts by label; totals: all texts by label."""
-        self.known = HashTable(max(8, int(2 * len(keys) + 2).bit_length()))
-        self.known.add(keys, np.arange(len(keys)))
-        self.word_texts, self.gram_texts, self.totals = word_texts, gram_texts, totals
-
-    def _odds(self, n: np.ndarray, own: int | None) -> np.ndarray:
-        """Log ratio of the rates of label 1 and 0; own: the label of a text that holds all of these and does not count."""
-        n, total = n.astype(np.float64), self.totals.astype(np.float64)
-        if own is not None:
-            n, total = n - np.eye(2)[own], total - np.eye(2)[own]
-        share = PRIOR * total / max(total.sum(), 1)
-        rate = (np.maximum(n, 0) + share) / np.maximum(total, 1)
-        return np.log(np.maximum(rate[:, 1], 1e-9)) - np.log(np.maximum(rate[:, 0], 1e-9))
-
-    def inputs(self, keys: np.ndarray, words: list[bytes], own: int | None = None) -> np.ndarray:
-        at = self.known.find(keys)
-        n = np.where(at[:, None] >= 0, self.word_texts[np.maximum(at, 0)] if len(self.word_texts) else 0, 0)
-        if own is not None:
-            n = np.maximum(n, np.eye(2, dtype=np.int64)[own])
-        bucket, begin = grams(words)
-        odds = self._odds(np.maximum(self.gram_texts[bucket], np.eye(2, dtype=np.int64)[own] if own is not None else 0), own)
-        size = np.diff(np.append(begin, len(bucket)))
-        seen = n.sum(1) - (own is not None)
-        top, mean = np.maximum.reduceat(odds, begin), np.add.reduceat(odds, begin) / size
-        x = [self._odds(n, own), np.log1p(seen), top, mean, np.minimum.reduceat(odds, begin), size / 10]
-        return (np.stack(x, 1) / 2).astype(np.float32)
+def gathered(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """(n, width): the sums of the rows of each number."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        cut = np.flatnonzero(np.diff(at[order], prepend=-1))
+        out[at[order[cut]]] = np.add.reduceat(rows[order], cut, axis=0)
+    return out
+
+
+class Lookup:
+    """Some words by their row in the table of own vectors (0: none) and their grams (flat, with each word's begin)."""
+
+    def __init__(self, rows: np.ndarray, words: list[bytes]):
+        self.rows = rows
+        self.flat, self.begin = grams(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.size = np.diff(np.append(self.begin, len(self.flat)))
+
+    def some(self, at: np.ndarray) -> Lookup:
+        out, size = Lookup(self.rows[at], []), self.size[at]
+        out.begin, out.size = np.cumsum(size) - size, size
+        out.flat = self.flat[np.arange(size.sum()) + np.repeat(self.begin[at] - out.begin, size)]
+        return out
 
 
 class Net:
-    """Parameters: input and recurrent weights of both directions, attention, output."""
+    """Parameters: vectors of words and grams, input and recurrent weights of both directions, attention, output."""
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, known: np.ndarray = np.zeros(0, np.uint64), seed: int = 1):
+        """known: hashes of the words with vectors of their own; row 0 is of all others and stays 0."""
         rng = np.random.default_rng(seed)
         h = HIDDEN
+        self.known = HashTable(max(8, int(2 * len(known) + 2).bit_length()))
+        self.known.add(known, np.arange(1, len(known) + 1))
         draw = lambda *s, by: (rng.standard_normal(s) * by).astype(np.float32)
         self.p = {
+            "word": draw(len(known) + 1, WORD, by=0.1), "gram": draw(BUCKETS, GRAM, by=0.1),
             "wx": draw(2, INPUTS, 3 * h, by=INPUTS**-0.5), "bx": np.zeros((2, 1, 3 * h), np.float32), "uh": draw(2, h, 3 * h, by=h**-0.5),
             "att": draw(2 * h, ATTENTION, by=(2 * h) ** -0.5), "v": draw(ATTENTION, by=ATTENTION**-0.5), "out": draw(2 * h, by=(2 * h) ** -0.5), "b": np.zeros(1, np.float32),
         }
 
+    def lookup(self, keys: np.ndarray, words: list[bytes]) -> Lookup:
+        return Lookup(np.maximum(self.known.find(keys), 0).astype(np.int64), words)
+
+    def inputs(self, w: Lookup, drop: np.ndarray | None = None) -> np.ndarray:
+        """(words, INPUTS). drop: words whose own vector counts as 0."""
+        own = self.p["word"][w.rows] * (w.rows > 0 if drop is None else (w.rows > 0) & ~drop)[:, None]
+        return np.concatenate([own, np.add.reduceat(self.p["gram"][w.flat], w.begin) / np.sqrt(w.size)[:, None].astype(np.float32)], 1)
+
+    def inputs_back(self, w: Lookup, dx: np.ndarray, drop: np.ndarray | None = None) -> dict:
+        """Gradients of the two tables for those of the inputs."""
+        on = w.rows > 0 if drop is None else (w.rows > 0) & ~drop
+        each = np.repeat(dx[:, WORD:] / np.sqrt(w.size)[:, None].astype(np.float32), w.size, axis=0)
+        return {"word": gathered(len(self.p["word"]), w.rows[on], dx[on, :WORD]), "gram": gathered(BUCKETS, w.flat, each)}
+
     def gates(self, x: np.ndarray) -> np.ndarray:
         """(rows, 2, 3 * HIDDEN): what an input adds to the gates of either direction."""
         return np.matmul(x[None], self.p["wx"]).transpose(1, 0, 2) + self.p["bx"].transpose(1, 0, 2)
@@ -142,11 +155,11 @@ class Net:
         dp = error[:, None] * p["out"]
         dw = (both * dp).sum(2)
         ds = weight * (dw - (weight * dw).sum(0))
-        g["v"] = np.einsum("tb,tba->a", ds, tight)
+        g["v"] = ds.reshape(-1) @ tight.reshape(-1, ATTENTION)
         da = ds[..., None] * p["v"] * (1 - tight * tight)
-        g["att"] = np.einsum("tbi,tba->ia", both, da)
+        g["att"] = both.reshape(-1, 2 * h).T @ da.reshape(-1, ATTENTION)
         dh = weight[..., None] * dp + da @ p["att"].T
-        g["uh"], dg, carry = np.zeros_like(p["uh"]), np.zeros((count, 2, 3 * h), np.float32), np.zeros((2, len(error), h), np.float32)
+        g["uh"], carry, each = np.zeros_like(p["uh"]), np.zeros((2, len(error), h), np.float32), np.zeros((2, steps, len(error), 3 * h), np.float32)
         for t in reversed(range(steps)):
             a = steps - 1 - t
             state, z, r, n, un = kept[t]
@@ -159,17 +172,17 @@ class Net:
             du = np.concatenate([dz, dr, dn * r], 2)
             g["uh"] += np.matmul(state.transpose(0, 2, 1), du)
             carry = np.where(m, d * z, total) + np.matmul(du, p["uh"].transpose(0, 2, 1))
-            dx = np.concatenate([dz, dr, dn], 2)
-            np.add.at(dg[:, 0], rows[:, t], dx[0])
-            np.add.at(dg[:, 1], rows[:, a], dx[1])
-        return g, dg
+            each[:, t, :, : 2 * h], each[:, t, :, 2 * h :] = du[..., : 2 * h], dn
+        at = rows.T.ravel()
+        forth, back = (gathered(count, a, x.reshape(-1, 3 * h)) for a, x in ((at, each[0]), (rows.T[::-1].ravel(), each[1])))
+        return g, np.stack([forth, back], 1)
 
 
 class Scorer:
     """Scores whole texts: the largest logit of their windows. Remembers the gate inputs of words, up to half of 2**bits."""
 
-    def __init__(self, net: Net, lexis: Lexis, bits: int = 18):
-        self.net, self.lexis = net, lexis
+    def __init__(self, net: Net, bits: int = 18):
+        self.net = net
         self.table = HashTable(bits)
         self.gates = np.zeros((0, 2, 3 * HIDDEN), np.float32)
         self.size = 0
@@ -187,7 +200,7 @@ class Scorer:
         for a in range(0, len(new), 1 << 13):
             some = new[a : a + (1 << 13)]
             words = [w.buf[s:e] for s, e in zip(w.starts[at[some]].tolist(), w.ends[at[some]].tolist(), strict=True)]
-            made = self.net.gates(self.lexis.inputs(keys[some], words))
+            made = self.net.gates(self.net.inputs(self.net.lookup(keys[some], words)))
             if self.size + len(some) > len(self.gates):
                 self.gates = np.concatenate([self.gates, np.zeros((max(len(self.gates), len(some), 1 << 13), 2, 3 * HIDDEN), np.float32)])
             self.gates[self.size : self.size + len(some)] = made
@@ -220,51 +233,43 @@ class Scorer:
         return out
 
 
-def distinct_texts(texts: list[bytes]) -> np.ndarray:
-    """Numbers of texts that are no near copies of earlier ones: of 8 smallest shingle hashes by different orders, two equal ones make a copy."""
-    kept, seen = [], [set() for _ in range(8)]
+def distinct_texts(texts: list[bytes], labels: np.ndarray) -> np.ndarray:
+    """Numbers of texts with words that are no near copies of one earlier text of their label: copies agree in 5 or more of 8 smallest shingle hashes by different orders."""
+    kept, seen = [], [{} for _ in range(8)]
     salts = textkit.series(8, 23)
     for i, s in enumerate(x for a, b in textkit.groups([len(t) for t in texts]) for x in textkit.shingle_sets(texts[a:b])):
         if not len(s):
             continue
-        low = [int(textkit.mix(s ^ k).min()) for k in salts]
-        if sum(m in x for m, x in zip(low, seen, strict=True)) < 2:
+        low = [(int(labels[i]), int(textkit.mix(s ^ k).min())) for k in salts]
+        like = [x[m] for m, x in zip(low, seen, strict=True) if m in x]
+        if not like or max(map(like.count, like)) < 5:
             kept.append(i)
             for m, x in zip(low, seen, strict=True):
-                x.add(m)
+                x.setdefault(m, i)
     return np.array(kept, np.int64)
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 6, batch: int = 96, per_text: int = 24, least_steps: int = 240, seed: int = 2) -> tuple[Net, Lexis]:
-    """A network and its lexis. A text's label is that of its highest-scoring window: each round takes that window of a labelled
-    text (at first a random one; of texts with label 0, not always). per_text: windows of a text that may be taken."""
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int = 96, per_text: int = 24, least_steps: int = 480, seed: int = 2) -> Net:
+    """The network. A text's label is that of its highest-scoring window: each round takes that window of a labelled
+    text (at first a random one; of texts with label 0, not always). per_text: windows of a text of label 0 that may be taken; of label 1, all may."""
     rng = np.random.default_rng(seed)
-    at = distinct_texts(texts)
+    at = distinct_texts(texts, labels)
     texts, labels = [texts[i] for i in at.tolist()], labels[at]
     w = textkit.Words([t.lower() for t in texts], APART)
     keys, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
     doc = np.repeat(np.arange(len(texts)), w.counts)
-    words = [w.buf[s:e] for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-    totals = np.bincount(labels, minlength=2)[:2]
-    net = Net()
-    pair = np.unique(np.stack([doc, back]), axis=1)
-    word_texts = np.stack([np.bincount(pair[1][labels[pair[0]] == k], minlength=len(keys)) for k in (0, 1)], 1)
-    gram_texts = np.zeros((BUCKETS, 2), np.int64)
-    for d in range(len(texts)):
-        own = pair[1][slice(*np.searchsorted(pair[0], [d, d + 1]))]
-        if len(own):
-            gram_texts[np.unique(grams([words[i] for i in own.tolist()])[0]), labels[d]] += 1
-    lexis = Lexis(keys, word_texts, gram_texts, totals)
+    held = np.bincount(np.unique(np.stack([doc, back]), axis=1)[1], minlength=len(keys))  # texts of each word, whatever their label
+    net = Net(keys[held >= LEAST])
     usable = np.flatnonzero(w.counts)
     yes, no = usable[labels[usable] == 1], usable[labels[usable] == 0]
     if not len(yes) or not len(no):
-        return net, lexis
-    inputs = np.concatenate([lexis.inputs(keys[a : a + 8192], words[a : a + 8192], own) for own in (0, 1) for a in range(0, len(keys), 8192)])
-    starts = [s if len(s) <= per_text else np.sort(rng.choice(s, per_text, False)) for s in (windows(int(n)) for n in w.counts)]
+        return net
+    every = net.lookup(keys, [w.buf[s:e] for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+    starts = [s if len(s) <= per_text or labels[i] else np.sort(rng.choice(s, per_text, False)) for i, s in enumerate(windows(int(n)) for n in w.counts)]
 
     def rows_of(d: np.ndarray, s: np.ndarray) -> np.ndarray:
         place = s[:, None] + np.arange(WINDOW)
-        return np.where(place < w.counts[d][:, None], back[np.minimum(w.first[d][:, None] + place, len(back) - 1)] + labels[d][:, None] * len(keys), -1)
+        return np.where(place < w.counts[d][:, None], back[np.minimum(w.first[d][:, None] + place, len(back) - 1)], -1)
 
     moment, square, steps = {}, {}, 0
     chosen = {d: int(rng.choice(starts[d])) for d in usable.tolist()}
@@ -272,7 +277,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 6, batch: int =
     per_round = max(least_steps // rounds, min(2 * max(len(yes), len(no)) // batch, 60))
     for r in range(rounds):
         if r:
-            gates = net.gates(inputs)
+            gates = net.gates(net.inputs(every))
             d = np.repeat(usable, [len(starts[i]) for i in usable.tolist()])
             s = np.concatenate([starts[i] for i in usable.tolist()])
             logit = np.concatenate([net.run(gates, rows_of(d[a : a + 1024], s[a : a + 1024])) for a in range(0, len(d), 1024)])
@@ -282,18 +287,20 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 6, batch: int =
         for _ in range(per_round):
             d = np.concatenate([rng.choice(yes, half), rng.choice(no, half)])
             rows = rows_of(d, np.array([chosen[i] for i in d.tolist()]))
-            rows = np.where(rng.random(rows.shape) < 0.1, rng.permuted(rows, axis=1), rows)
             local, where = np.unique(rows, return_inverse=True)
             where = where.reshape(rows.shape) - (local[0] < 0)
-            x = inputs[local[local >= 0]]
+            met = every.some(local[local >= 0])
+            drop = rng.random(len(met.rows)) < 0.6
+            x = net.inputs(met, drop)
             logit, memory = net.run(net.gates(x), where, keep=True)
             g, dg = net.backward(((_sig(logit) - labels[d]) / batch).astype(np.float32), memory, len(x))
             dg = dg.transpose(1, 0, 2)
             g["wx"], g["bx"] = np.matmul(np.broadcast_to(x.T, (2, *x.T.shape)), dg), dg.sum(1, keepdims=True)
+            g |= net.inputs_back(met, np.matmul(dg, net.p["wx"].transpose(0, 2, 1)).sum(0), drop)
             steps += 1
             for k, v in g.items():
-                v = v + 1e-4 * net.p[k]
+                v = v + 1e-3 * net.p[k]
                 moment[k] = 0.9 * moment.get(k, 0) + 0.1 * v
                 square[k] = 0.999 * square.get(k, 0) + 0.001 * v * v
                 net.p[k] -= (0.01 * min(1, steps / 20) * (moment[k] / (1 - 0.9**steps)) / (np.sqrt(square[k] / (1 - 0.999**steps)) + 1e-8)).astype(np.float32)
-    return net, lexis
+    return net

@@ -46,36 +46,36 @@ class Model:
         if self.constant:
             return
         cut = np.random.default_rng(4).random(len(y)) < 0.2
-        self.net, self.lexis = gru.train([t for t, c in zip(texts, cut, strict=True) if not c], y[~cut])
+        self.net = gru.train([t for t, c in zip(texts, cut, strict=True) if not c], y[~cut])
         some = np.flatnonzero(cut)
-        logit = np.maximum(gru.Scorer(self.net, self.lexis).logits([texts[i] for i in some]), EMPTY) if len(some) else np.zeros(0)
+        logit = np.maximum(gru.Scorer(self.net).logits([texts[i] for i in some]), EMPTY) if len(some) else np.zeros(0)
         self.slope, self.offset = calibrate(logit, y[some], np.where(y[some] == 1, *rates[::-1]) if len(some) else np.zeros(0))
 
     def scorer(self):
         if self.constant:
             return lambda texts: np.full(len(texts), self.rate)
-        s = gru.Scorer(self.net, self.lexis)
+        s = gru.Scorer(self.net)
         return lambda texts: 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(s.logits(texts), EMPTY) + self.offset, -30, 30)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, fold: int = FOLD, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """The rows of docs with _held_out, _score (0 to 1) and _predicted (1 where the score reaches the threshold).
 
-    Null and empty texts and texts without words get the score of the logit EMPTY. Labels that are null, of held-out ids or of ids without a document teach nothing; an id labelled
+    Columns of docs named _held_out, _score or _predicted give way. Null and empty texts and texts without words get the score of the logit EMPTY. Labels that are null, of held-out ids or of ids without a document teach nothing; an id labelled
     twice has the larger label. With fewer than 20 usable labels, or one class only, every score is the (smoothed) rate of label 1. A null id is not held
     out. Repeated rows are scored alike, extra columns of docs are passed on. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    known = labels.select(F.col("doc_id").cast("long").alias("_known"), F.col(label).cast("int").alias("_label")).where("_known is not null and _label in (0, 1)").where(~held_out(F.col("_known"), folds, fold))
-    known = known.groupBy("_known").agg(F.max("_label").alias("_label"))
-    counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}  # two rows
-    of = lambda k: known.where(F.col("_label") == k).orderBy(F.xxhash64("_known"), "_known").limit(sample)
+    spark, docs = docs.sparkSession, docs.drop("_held_out", "_score", "_predicted")
+    known = labels.select(F.col("doc_id").cast("long").alias("known"), F.col(label).cast("int").alias("label")).where("known is not null and label in (0, 1)").where(~held_out(F.col("known"), folds, fold))
+    known = known.groupBy("known").agg(F.max("label").alias("label"))
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows
+    of = lambda k: known.where(F.col("label") == k).orderBy(F.xxhash64("known"), "known").limit(sample)
     known = of(0).unionByName(of(1))
-    taught = docs.select(F.col(id_col).cast("long").alias("_known"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_known")
-    rows = taught.select("_known", "_label", "_text").toArrow().sort_by([("_known", "ascending"), ("_text", "ascending")])  # of 2 * sample labels
-    y = rows["_label"].to_numpy().astype(np.int64)
+    taught = docs.select(docs[id_col].cast("long").alias("known"), docs[text_col].cast("string").alias("text")).join(F.broadcast(known), "known")
+    rows = taught.select("known", "label", "text").toArrow().sort_by([("known", "ascending"), ("text", "ascending")])  # of 2 * sample labels
+    y = rows["label"].to_numpy().astype(np.int64)
     rates = tuple(counts.get(k, 0) / max(int((y == k).sum()), 1) for k in (0, 1))
-    model = spark.sparkContext.broadcast(Model(_texts(rows["_text"]), y, rates))
+    model = spark.sparkContext.broadcast(Model(_texts(rows["text"]), y, rates))
     at, names = docs.columns.index(text_col), [*docs.columns, "_score"]
 
     def score(batches):
