@@ -4,14 +4,16 @@ Frequent words of the corpus are compiled with their ids into a minimal acyclic
 normalised and cut into words for many texts at once; a word's ids come from a bounded table of words met before, else from the
 transducer, else from exact merging: always the pair of the lowest rank, the leftmost of equal ones, many words side by side.
 
-Texts with characters outside the ranges that the cutting by class covers (below U+0250 and general punctuation), apostrophes
-(contractions), control characters or strings of added tokens go through the library itself, as do words of over LONG bytes.
+The library itself encodes nothing here. Added tokens cut a text first; what stands between them is normalised (NFC, each character lower-cased by itself) and cut
+by the class of its characters, contractions and all, for any Unicode text. Words of over LONG bytes are merged one by one with a heap, to the same ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
 from functools import cache
 
@@ -29,7 +31,20 @@ U = textkit.U
 LEXICON = 1 << 15
 LONG = 48
 NONE = np.int32(1 << 30)
-SPACE, LETTER, DIGIT, OTHER, HARD = range(5)
+SPACE, LETTER, DIGIT, OTHER, SHORT = range(5)
+#: The characters of the property White_Space, and the endings that an apostrophe starts.
+WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Letters (ranges) and lower cases (ranges and what to add) that Unicode has since 16 and unicodedata may not have yet.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_LOWER = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def default_path() -> str:
@@ -39,32 +54,35 @@ def default_path() -> str:
 
 
 @cache
-def _classes() -> np.ndarray:
-    """The class of each character below U+2060."""
-    out = np.full(0x2060, HARD, np.uint8)
-    for c in [*range(0x20, 0x7F), *range(0xA0, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]:
-        kind = unicodedata.category(chr(c))
-        out[c] = LETTER if kind[0] == "L" else DIGIT if kind[0] == "N" else OTHER if kind[0] in "PSM" else HARD
-    out[[9, 10, 13, 32, 0xA0]] = SPACE
-    out[[0x27, 0x130]] = HARD
-    return out
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The class of each character, and its lower case (of all but U+0130 one character)."""
+    kind, lower = np.full(0x110000, OTHER, np.uint8), np.arange(0x110000, dtype=np.uint32)
+    first = {"L": LETTER, "N": DIGIT}
+    for c in range(0x110000):
+        ch = chr(c)
+        kind[c] = first.get(unicodedata.category(ch)[0], OTHER)
+        low = ch.lower()
+        if len(low) == 1:
+            lower[c] = ord(low)
+    for a, b in NEW_LETTERS:
+        kind[a : b + 1] = LETTER
+    for a, b, add in NEW_LOWER:
+        lower[a : b + 1] = np.arange(a, b + 1) + add
+    kind[WHITE] = SPACE
+    return kind, lower
 
 
 class Coder:
     """The vocabulary and merges of a tokenizer file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.apart = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in plain]
         self.chars = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
@@ -73,6 +91,7 @@ class Coder:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = np.array([(vocab[a], vocab[b]) for a, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.pairs = {(int(a), int(b)): r for r, (a, b) in reversed(list(enumerate(ids.tolist())))}
         first = np.unique(ids[:, 0] << 32 | ids[:, 1], return_index=True)
         self.ranks = HashTable(18)
         self.ranks.add(first[0].astype(U) + U(1), first[1])
@@ -89,13 +108,38 @@ class Coder:
             some = order[a:b]
             while some and len(words[some[-1]]) > LONG:
                 i = some.pop()
-                out[i] = [t.id for t in self.library.model.tokenize("".join(self.chars[x] for x in words[i]))]
+                out[i] = self.merge_long(words[i])
             if some:
                 ids, n = self._merge([words[i] for i in some])
                 for i, row, k in zip(some, ids.tolist(), n.tolist(), strict=True):
                     out[i] = row[:k]
         return out
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """The ids of one word of any length: a heap of (rank, place) over a linked list."""
+        ids = [*self.inner[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.last[word[-1]])]
+        n, made = len(ids), self.made.tolist()
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or self.pairs.get((ids[i], ids[j])) != r:
+                continue
+            ids[i], ids[j], after[i] = made[r], -1, after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+                if (r := self.pairs.get((ids[i], ids[after[i]]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if before[i] >= 0 and (r := self.pairs.get((ids[before[i]], ids[i]))) is not None:
+                heapq.heappush(heap, (r, before[i]))
+        return [x for x in ids if x >= 0]
+
+    def segments(self, text: str) -> tuple[list[str], list[str]]:
+        """What stands between the added tokens of a text, and these tokens: one fewer."""
+        return (self.apart.split(text), self.apart.findall(text)) if self.added else ([text], [])
+
     def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = np.array([len(w) for w in words])
         width = int(n.max())
@@ -129,33 +173,42 @@ class Coder:
         return ids, n
 
 
+def normal(t: str) -> str:
+    """NFC, and the one character whose lower case is two already in that form."""
+    if t.isascii():
+        return t
+    t = t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)
+    return t.replace("\u0130", "i\u0307")
+
+
 class Cut:
-    """The words of lower-cased texts: word i is text[starts[i]:ends[i]]; hard[d]: text d must go through the library."""
+    """The words of some texts without added tokens, lower-cased: word i is text[starts[i]:ends[i]], text d's first word is first[d]."""
 
-    def __init__(self, texts: list[str], added: list[str]):
-        self.text = "\n".join(texts).lower() + "\n"
+    def __init__(self, texts: list[str]):
+        texts = [normal(t) for t in texts]
         at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        known = len(self.text) == at[-1]
-        if not known:  # a character that grows when lower-cased; such texts are hard
-            texts = [t if len(t.lower()) == len(t) else "\x00" * len(t) for t in texts]
-            self.text = "\n".join(texts).lower() + "\n"
-        code = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        table = _classes()
-        kind = np.where(code < len(table), table[np.minimum(code, len(table) - 1)], HARD)
-        self.hard = np.zeros(len(texts), bool)
-        self.hard[np.unique(np.searchsorted(at, np.flatnonzero(kind == HARD), "right") - 1)] = True
-        for i, t in enumerate(texts):
-            if any(s in t for s in added):
-                self.hard[i] = True
-        kind = np.where(kind == HARD, SPACE, kind)
-        change = np.diff(kind, prepend=SPACE) != 0
-        start = (kind != SPACE) & (change | (kind == DIGIT))
-        self.starts = np.flatnonzero(start)
-        stop = np.flatnonzero(change | (kind == DIGIT))
-        nxt = np.searchsorted(stop, self.starts, "right")
-        self.ends = np.append(stop, len(code))[nxt]
+        kinds, lower = _classes()
+        raw = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        self._code = code = lower[raw]
+        kind = kinds[code]
+        forced = kind == DIGIT
+        mark = np.flatnonzero(code[:-1] == 0x27)
+        mark = mark[(kind[mark + 1] == LETTER) & ((mark == 0) | (kind[mark - 1] != OTHER))]
+        if len(mark):
+            size, second, third = np.zeros(len(mark), np.int64), code[mark + 1], code[np.minimum(mark + 2, len(code) - 1)]
+            for e in ENDINGS:
+                size[(second == ord(e[0])) & ((len(e) == 1) | (third == ord(e[-1])))] = 1 + len(e)
+            mark, size = mark[size > 0], size[size > 0]
+            forced[mark] = forced[mark + size] = True
+            kind = kind.copy()
+            for k in range(3):
+                kind[mark[size > k] + k] = SHORT
+        stop = (np.diff(kind, prepend=SPACE) != 0) | forced
+        self.starts = np.flatnonzero(stop & (kind != SPACE))
+        stop = np.flatnonzero(stop)
+        self.ends = np.append(stop, len(code))[np.searchsorted(stop, self.starts, "right")]
         self.first = np.searchsorted(self.starts, at)
-        self._code = code
+        self.text = code.tobytes().decode("utf-32-le", "surrogatepass")
 
     def hashes(self) -> np.ndarray:
         lens = self.ends - self.starts
@@ -210,33 +263,43 @@ class Encoder:
     def encode(self, texts: list[str]):
         """Per text (number of tokens, ids joined by a space, decoded text)."""
         for a, b in textkit.groups([2 * len(t) for t in texts]):
-            cut = Cut(texts[a:b], self.coder.added)
-            keys, at, back = np.unique(cut.hashes(), return_index=True, return_inverse=True)
-            found = self.table.find(keys)
-            if (found < 0).any() and not self.table.room(int((found < 0).sum())):
-                self._forget()
-                found = self.table.find(keys)
-                if not self.table.room(len(keys)):
-                    self.table = HashTable(self.table.bits + 1)
-            new = np.flatnonzero(found < 0)
-            if len(new):
-                self._learn(keys[new], cut.words(at[new]))
-                found = self.table.find(keys)
-            word = found[back]
-            total = np.concatenate([[0], np.cumsum(self.sizes[word], dtype=np.int64)])
-            word, first = word.tolist(), cut.first.tolist()
-            for d in range(b - a):
-                if cut.hard[d]:
-                    ids = self.coder.library.encode(texts[a + d], add_special_tokens=False).ids
-                    yield len(ids), " ".join(map(str, ids)), self.coder.library.decode(ids, skip_special_tokens=False)
+            cut_up = [self.coder.segments(t) for t in texts[a:b]]
+            parts = self._parts([p for some, _ in cut_up for p in some])
+            for some, tokens in cut_up:
+                n, ids, pieces = map(list, zip(*(next(parts) for _ in some), strict=True))
+                if tokens:
+                    between = [*tokens, None]
+                    ids = [x for i, t in zip(ids, between, strict=True) for x in (i, str(self.coder.added[t]) if t else "") if x]
+                    pieces = [x for i, t in zip(pieces, between, strict=True) for x in (i, t) if x]
+                    yield sum(n) + len(tokens), " ".join(ids), " ".join(pieces)
                 else:
-                    some = word[first[d] : first[d + 1]]
-                    yield int(total[first[d + 1]] - total[first[d]]), " ".join([self.ids[i] for i in some]), " ".join([self.pieces[i] for i in some])
+                    yield n[0], ids[0], pieces[0]
+
+    def _parts(self, texts: list[str]):
+        """The same for texts without added tokens."""
+        cut = Cut(texts)
+        keys, at, back = np.unique(cut.hashes(), return_index=True, return_inverse=True)
+        found = self.table.find(keys)
+        if (found < 0).any() and not self.table.room(int((found < 0).sum())):
+            self._forget()
+            found = self.table.find(keys)
+            while not self.table.room(len(keys)):
+                self.table = HashTable(self.table.bits + 1)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            self._learn(keys[new], cut.words(at[new]))
+            found = self.table.find(keys)
+        word = found[back]
+        total = np.concatenate([[0], np.cumsum(self.sizes[word], dtype=np.int64)])
+        word, first = word.tolist(), cut.first.tolist()
+        for d in range(len(texts)):
+            some = word[first[d] : first[d + 1]]
+            yield int(total[first[d + 1]] - total[first[d]]), " ".join([self.ids[i] for i in some]), " ".join([self.pieces[i] for i in some])
 
 
 def frequent_words(docs: DataFrame, folder: str, path: str, size: int = LEXICON, text_col: str = "text") -> list[bytes]:
-    """The corpus's most frequent words, size of them at most: all words are counted, the least count that fits is taken."""
-    added = _coder(path).added
+    """The corpus's most frequent words of up to LONG bytes, size of them at most, ties to the smaller: all words are counted."""
+    coder = _coder(path)
 
     def count(batches):
         table, words, sums = HashTable(19), [], np.zeros(1 << 19, np.int64)
@@ -248,7 +311,7 @@ def frequent_words(docs: DataFrame, folder: str, path: str, size: int = LEXICON,
         for batch in batches:
             texts = [x or "" for x in batch.column(0).to_pylist()]
             for a, b in textkit.groups([2 * len(t) for t in texts]):
-                cut = Cut(texts[a:b], added)
+                cut = Cut([p for t in texts[a:b] for p in coder.segments(t)[0]])
                 keys, at, n = np.unique(cut.hashes(), return_index=True, return_counts=True)
                 found = table.find(keys)
                 new = np.flatnonzero(found < 0)
@@ -274,17 +337,8 @@ def frequent_words(docs: DataFrame, folder: str, path: str, size: int = LEXICON,
 
     counts = docs.select(docs[text_col].cast("string")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = common.table(counts, folder, "words")
-    step = F.floor(F.log2("n") * 8).cast("int")
-    levels = {r[0]: r[1] for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect()}  # 512 rows at most
-    kept, least = 0, None
-    for s in sorted(levels, reverse=True):
-        kept += levels[s]
-        if kept > size:
-            break
-        least = s
-    if least is None:
-        return []
-    return [bytes(w) for w in counts.where(step >= least).select("word").toArrow()["word"].to_pylist()]
+    top = counts.where(F.length("word") <= LONG).orderBy(F.col("n").desc(), "word").limit(size)
+    return [bytes(w) for w in top.select("word").toArrow()["word"].to_pylist()]  # of size words at most
 
 
 def encode(docs: DataFrame, folder: str, path: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
