@@ -11,6 +11,10 @@ that stands whole in a document has, for each of its windows, a document's windo
 those short templates would be missed too often at m below 4, so every single shingle is a window of its own as well, in bands of its own, where a template of fewer than
 4 shingles offers each of its shingles: there the probability is 1.
 
+Retrieval. The bands' minima of all windows are keys, and a band's number is part of its hash. A bitmap of the templates' keys, BITS for each, leaves a text few of
+its own; these are exploded and joined with the table (key, template). Work on a text does not depend on the number of templates. A text and a
+template that meet in several keys go on at the first of them only.
+
 Verification counts exactly the template's distinct shingles that the document has: a match is NUM / DEN of them or more.
 """
 
@@ -22,21 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import common
+from quarry.llm.license_texts import TEMPLATES
 
 K, WINDOW, BANDS, NUM, DEN, SHORT = 5, 8, 8, 80, 100, 4
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Notices by which files commonly state their license, and the public texts' opening passages.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-    "mit": "Released under the MIT License.",
-    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-}
+#: Bits of the bitmap for each key of the templates.
+BITS = 16
+#: Shingles of all templates at most.
+MOST = 1 << 16
 
 
 def lowered(text: Column) -> Column:
@@ -79,37 +77,32 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, id_col: st
     n_shingles: the template's distinct shingles; n_found: how many of them the document has; first_word: the number (from 1) of the first
     word of the document's first shingle of the template's. Null and empty texts and texts of fewer than K words match nothing, nor do templates of fewer than K words.
     A null id stays null; repeated rows give repeated matches. Other columns play no part. An empty table gives an empty result. Templates are
-    a parameter of a few dozen texts, their keys literals of the plan.
+    a parameter, MOST shingles at most: their table is broadcast.
     """
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     t = spark.createDataFrame(sorted(templates.items()), "license string, body string")
-    t = t.withColumn("_words", word_hashes(F.col("body")))
-    rows = _keyed(t, "_words").collect()
-    offers = [(r["license"], sorted(set(r["_h"])), [set(r[f"_k{b}"]) for b in range(BANDS)]) for r in rows if r["_h"]]
-    longs = lambda xs: F.array(*[F.lit(x) for x in sorted(xs)]).cast("array<bigint>")
-    d = docs.select(F.col(id_col).alias("_id"), word_hashes(F.col(text_col).cast("string")).alias("_words"))
-    d = _keyed(d, "_words")
-    small = {x for _, h, _ in offers if len(h) < SHORT for x in h}
-    met = F.lit(False)
-    for band in range(BANDS):
-        keys = set().union(*(k[band] for _, _, k in offers)) if offers else set()
-        met = met | F.arrays_overlap(f"_k{band}", longs(keys)) if keys else met
-    met = met | F.arrays_overlap("_h", longs(small)) if small else met
-    found = []
-    for name, h, keys in offers:
-        own = F.lit(False)
-        for band in range(BANDS):
-            own = own | F.arrays_overlap(f"_k{band}", longs(keys[band]))
-        if len(h) < SHORT:
-            own = own | F.arrays_overlap("_h", longs(h))
-        n = F.size(F.array_intersect("_h", longs(h)))
-        first = F.array_min(F.filter(F.transform(longs(h), lambda x: F.array_position("_h", x)), lambda p: p > 0))
-        found.append(F.when(own & (DEN * n >= NUM * len(h)), F.struct(F.lit(name).alias("license"), n.cast("long").alias("n_found"), F.lit(len(h)).cast("long").alias("n_shingles"), first.cast("long").alias("first_word"))))
-    if not found:
-        return docs.select(id_col, F.lit("").alias("license"), F.lit(0).cast("long").alias("n_found"), F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("first_word")).where("false")
-    matches = F.when(met, F.array_compact(F.array(*found)))  # in one expression: a filter would be pushed down and compute the bands twice
-    return d.select("_id", F.explode(matches).alias("m")).select(F.col("_id").alias(id_col), "m.*")
+    rows = _keyed(t.withColumn("_words", word_hashes(F.col("body"))), "_words").collect()  # the templates
+    offers = [(r["license"], sorted(set(r["_h"])), set(r["_h"] if len(set(r["_h"])) < SHORT else []).union(*(r[f"_k{b}"] for b in range(BANDS)))) for r in rows if r["_h"]]
+    if sum(len(h) for _, h, _ in offers) > MOST:
+        raise ValueError(f"templates of more than {MOST} shingles")
+    keys = sorted((x, name, h, sorted(k)) for name, h, k in offers for x in k)
+    table = spark.createDataFrame(keys, "key long, license string, own array<long>, offered array<long>")
+    bits = max(10, (BITS * len(keys)).bit_length())
+    words = [0] * (1 << (bits - 6))
+    for x, *_ in keys:
+        at = x & ((1 << bits) - 1)
+        words[at >> 6] |= 1 << (at & 63)
+    known = F.lit([w - (1 << 64) if w >> 63 else w for w in words]).cast("array<bigint>")
+    bit = lambda x: x.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    held = lambda x: F.getbit(F.get(known, F.shiftright(bit(x), 6).cast("int")), bit(x).bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1
+    d = _keyed(docs.select(docs[id_col].alias("_id"), word_hashes(docs[text_col].cast("string")).alias("_words")), "_words")
+    d = d.select("_id", "_h", F.array_distinct(F.concat(*[F.filter(c, held) for c in ["_h", *(f"_k{b}" for b in range(BANDS))]])).alias("_met"))
+    d = d.select("_id", "_h", "_met", F.explode(F.when(F.size("_met") > 0, F.col("_met"))).alias("key"))  # not of the column itself: a filter on it would be pushed down and compute the bands twice
+    d = d.join(F.broadcast(table), "key").where(F.get(F.filter("_met", lambda x: F.array_contains("offered", x)), F.lit(0)) == F.col("key"))
+    first = F.array_min(F.filter(F.transform("own", lambda x: F.array_position("_h", x)), lambda p: p > 0))
+    d = d.select("_id", "license", F.size(F.array_intersect("_h", "own")).alias("n"), F.size("own").alias("of"), first.alias("first")).where(DEN * F.col("n") >= NUM * F.col("of"))
+    return d.select(F.col("_id").alias(id_col), "license", F.col("n").cast("long").alias("n_found"), F.col("of").cast("long").alias("n_shingles"), F.col("first").cast("long").alias("first_word"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
