@@ -32,11 +32,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a temporary one only where that is unset (tests)."""
+    """A new folder in the cluster's shared checkpoint folder; a temporary one only where that is unset and all runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}"
@@ -49,17 +51,29 @@ def table(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, folder: str, name: str = "") -> None:
-    """Delete a scratch table that nothing reads any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}".rstrip("/"))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for name in names:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front until no column has them (whatever the case of its letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, folder: str, name: str = "cc", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, folder: str, name: str = "cc", rounds: int = 400) -> DataFrame:
     """Connected components by alternating large-star and small-star joins.
 
     edges: columns a, b of one orderable type. Returns (node, component), component being the smallest node reachable;

@@ -187,6 +187,7 @@ def near_duplicates(vectors: DataFrame, folder: str, cosine: float = COSINE, id_
         yield from _by_cell(batches, work)
 
     found = common.table(kept.mapInArrow(link, "c bigint, links bigint, low bigint"), folder, "links")
+    common.drop(spark, folder, "keys", "kept")
     comp = common.components(found.select(F.col("c").alias("a"), F.col("low").alias("b")), folder)
     named = classes.select("c", "low", "m").join(comp.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     names = named.groupBy("component").agg(F.min("low").alias("component_id"))

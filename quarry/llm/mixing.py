@@ -70,12 +70,13 @@ def mix_sources(
 
     A null text has size 0, a null source is a source of its own, the last one; null ids and repeated rows are rows like
     any other. Rows of one source and size are ordered by id; rows that agree in these may swap copies. Sources without words have target 0 and
-    none of their documents is taken. size, where given, stands for the words of the text. An empty table gives an empty result. docs may have any other columns but those
-    named here with a leading underscore.
+    none of their documents is taken. size, where given, stands for the words of the text. An empty table gives an empty result. docs may have any other columns;
+    those of the result's names give way.
     """
+    docs = docs.drop("_size", "_source_size", "_target", "_copies")
     s, null = F.coalesce(F.col(source_col), F.lit("")), F.col(source_col).isNull()
-    d = docs.withColumns({"_s": s, "_null": null, "_size": word_count(F.col(text_col)) if size is None else size})
-    d = numbered(d, [F.col("_null"), F.col("_s"), F.col("_size"), F.col(id_col)], folder, "sized").withColumn("_part", F.shiftrightunsigned("_at", 33))
+    d = docs.select(F.struct("*").alias("_row"), s.alias("_s"), null.alias("_null"), F.col(id_col).alias("_id"), (word_count(F.col(text_col)) if size is None else size).alias("_size"))
+    d = numbered(d, [F.col("_null"), F.col("_s"), F.col("_size"), F.col("_id")], folder, "sized").withColumn("_part", F.shiftrightunsigned("_at", 33))
     parts = d.groupBy("_null", "_s", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"), F.sum("_size").alias("_sum"))
     parts = common.table(parts, folder, "parts")
     earlier = Window.partitionBy("_null", "_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,15 +85,19 @@ def mix_sources(
     places = common.table(parts_at.join(t, ["_null", "_s"]).select("_null", "_s", "_part", (F.col("_before") - F.col("_from")).alias("_shift"), "_source_size", "_target"), folder, "places")
     d = d.join(places, ["_null", "_s", "_part"])
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    u, rank = offset(F.col(source_col), seed), F.col("_at") + F.col("_shift")
+    u, rank = offset(F.when(~F.col("_null"), F.col("_s")), seed), F.col("_at") + F.col("_shift")
     copies = F.least(F.floor((rank + 1) * rate + u) - F.floor(rank * rate + u), F.ceil(F.lit(cap)))
-    return d.withColumn("_copies", copies.cast("long")).drop("_s", "_null", "_at", "_part", "_shift")
+    return d.select("_row.*", "_size", "_source_size", "_target", copies.cast("long").alias("_copies"))
 
 
 def emit(docs: DataFrame, folder: str, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    mixed = mix_sources(docs, folder, **options).where("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    given = {c: docs[options.pop(c, d)].alias(d) for c, d in (("id_col", "doc_id"), ("source_col", "source"))}
+    size = options.pop("size", None)
+    size = word_count(docs[options.pop("text_col", "text")]) if size is None else size
+    kept = docs.select(F.struct("*").alias("_row"), *given.values(), size.alias("words"))
+    mixed = mix_sources(kept, folder, size=F.col("words"), **options).where("_copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,10 +166,12 @@ def remove_repeats(docs: DataFrame, folder: str, span: int = SPAN, gram: int = G
 
     A null or empty text has no words: 0, 0, the hash of nothing, and an empty _kept. Texts of fewer than span words keep all. A null id is allowed, and so
     are rows that share an id: each row is a text of its own, so that repeated rows of span words or more remove each other. Other columns are
-    passed on. An empty table gives an empty result.
+    passed on, but for those of the result's names, which give way. An empty table gives an empty result.
     """
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))))
-    texts = keyed.select(F.col("_id").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.drop("_n_words", "_n_removed", "_kept_sha256", "_kept")
+    key, held = common.fresh(docs.columns, "_id", "_marks")
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))))
+    texts = keyed.select(F.col(key).alias("id"), F.col(text_col).cast("string").alias("text"))
     by_path, by_anchor = Window.partitionBy("anchor", "path"), Window.partitionBy("anchor")
     seen = _paths(texts, span, gram).repartition("anchor")
     seen = seen.withColumns({"same": F.sum("n").over(by_path), "owner": F.min("id").over(by_path)})
@@ -183,7 +185,7 @@ def remove_repeats(docs: DataFrame, folder: str, span: int = SPAN, gram: int = G
     single = common.table(twice.select("id", F.col("edge").alias("mark"), "kind").distinct(), folder, "edges")
 
     final = marks.where(F.col("kind") != CHECK).select("id", "mark", F.lit(SOLID).alias("kind")).unionAll(single)
-    d = keyed.join(grouped(final).withColumnRenamed("id", "_id"), "_id", "left").drop("_id").withColumnRenamed("marks", "_marks")
+    d = keyed.join(grouped(final).select(F.col("id").alias(key), F.col("marks").alias(held)), key, "left").select(*[keyed[c] for c in docs.columns], held)
     extra = [("_n_words", T.LongType()), ("_n_removed", T.LongType()), ("_kept_sha256", T.StringType()), *([("_kept", T.StringType())] if with_text else [])]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in extra)])
     at, keep = docs.columns.index(text_col), len(docs.columns)
@@ -211,7 +213,7 @@ def remove_repeats(docs: DataFrame, folder: str, span: int = SPAN, gram: int = G
             arrays = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string()), *([pa.array(kept, pa.string())] if with_text else [])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *arrays], names=names)
 
-    return d.select(*[d[c] for c in docs.columns], "_marks").mapInArrow(run, schema)
+    return d.mapInArrow(run, schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ can't beat the k-th score, the expansion has stopped. Queries travel to annuli i
 each (group, annulus) returns k rows a query at most.
 
 What the bounds can do depends on the data alone: vectors on few dimensions or in tight clusters leave most annuli out, unit vectors spread over 64 dimensions
-leave hardly any (README has the measured shares). visited_share says how many it was.
+leave hardly any (README has the measured shares).
 """
 
 from __future__ import annotations
@@ -66,13 +66,14 @@ def _pivots(vectors: DataFrame, width: int) -> np.ndarray:
     return x[chosen]
 
 
-def search(vectors: DataFrame, queries: DataFrame, folder: str, k: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, folder: str, k: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding", stats: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors of another id with the largest score.
 
     Score: inner product of floor(256 * component), exact while it stays below 2**53, of any size up to 2**62, where it is cut. Ties go to the smaller vec_id. Vectors that are null, or hold null
     or non-finite components, and rows of a null id take no part. Shorter vectors count as filled up with zeros. Repeated rows
     are found as often as they stand there; a query gets all other rows if there are fewer than k. A query id that occurs twice is one query for each row of it that
     differs. Other columns play no part. An empty table gives an empty result.
+    stats: gets visited_share, the share of all (query, vector) pairs that were scored.
     """
     spark = vectors.sparkSession
     x = common.table(_valid(vectors, id_col, vec_col), folder, "vectors")
@@ -164,6 +165,10 @@ def search(vectors: DataFrame, queries: DataFrame, folder: str, k: int = TOP, id
     open_ = open_.join(rings, "pivot").where(F.col("kth").isNull() | (F.greatest(F.col("dq") - F.col("hi"), F.col("lo") - F.col("dq")) <= F.col("reach")))
     visits = open_.select("id", "v", "dq", "reach", "pivot", "ring").join(annuli.select("pivot", "ring", "block", "lo", "hi"), ["pivot", "ring"])
     visits = visits.where(F.col("reach").isNull() | (F.greatest(F.col("dq") - F.col("hi"), F.col("lo") - F.col("dq")) <= F.col("reach"))).select("id", "v", "block").join(seen, ["id", "v", "block"], "left_anti")
+    if stats is not None:
+        rows = annuli.select("block", (F.length("ids") / 8).alias("n"))
+        done = seen.select("id", "block").unionAll(visits.select("id", "block")).join(rows, "block").agg(F.sum("n")).first()[0]
+        stats["visited_share"] = float(done or 0) / max(x.count() * q.count(), 1)
     both = _best(first.drop("rank").unionByName(score(visits)), k)
     return both.select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
 
