@@ -74,23 +74,26 @@ def unrle90(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzss(data: bytes, window: int = 4096, least: int = 3, most: int = 18) -> bytes:
-    """Groups of eight items under a flag byte: a literal (bit 1) or 12 bits of distance - 1 and 4 of length - least."""
+#: Fixed values of LZSS: size of the ring, where writing begins, lengths of matches; the ring begins full of spaces.
+RING, BEGIN, LEAST, MOST = 4096, 4078, 3, 18
+
+
+def lzss(data: bytes) -> bytes:
+    """Groups of eight items under a flag byte (lowest bit first): a literal (1), or a match of 12 bits of place in the ring, low byte first, and 4 of length."""
     out, seen, i, n = bytearray(), {}, 0, len(data)
     while i < n:
         flags, items = 0, bytearray()
         for bit in range(8):
             if i >= n:
                 break
-            key = data[i : i + least]
-            j = seen.get(key, -1)
-            seen[key] = i
-            if j >= 0 and i - j <= window and len(key) == least:
-                k = least
-                while k < most and i + k < n and data[j + k] == data[i + k]:
+            key = data[i : i + LEAST]
+            j, seen[key] = seen.get(key, -1), i
+            if j >= 0 and i - j <= RING - MOST and len(key) == LEAST:
+                k = LEAST
+                while k < MOST and i + k < n and data[j + k] == data[i + k]:
                     k += 1
-                d = i - j - 1
-                items += bytes([d >> 4, (d & 15) << 4 | k - least])
+                at = BEGIN + j & RING - 1
+                items += bytes([at & 255, at >> 4 & 0xF0 | k - LEAST])
                 i += k
             else:
                 flags |= 1 << bit
@@ -101,26 +104,64 @@ def lzss(data: bytes, window: int = 4096, least: int = 3, most: int = 18) -> byt
     return bytes(out)
 
 
-def unlzss(data: bytes, least: int = 3) -> bytes:
-    out, i = bytearray(), 0
+def unlzss(data: bytes, most: int = 1 << 30) -> bytes:
+    """The stream ends with its input, a match that the end cuts off is dropped. An error if the output would pass most bytes."""
+    ring, at, out, i = bytearray(b" " * RING), BEGIN, bytearray(), 0
     while i < len(data):
         flags, i = data[i], i + 1
         for bit in range(8):
-            if i >= len(data):
-                break
             if flags >> bit & 1:
-                out.append(data[i])
+                chunk = data[i : i + 1]
                 i += 1
+                for c in chunk:
+                    ring[at], at = c, at + 1 & RING - 1
+                out += chunk
             elif i + 1 < len(data):
-                d, k = (data[i] << 4 | data[i + 1] >> 4) + 1, (data[i + 1] & 15) + least
+                place, k = data[i] | (data[i + 1] & 0xF0) << 4, (data[i + 1] & 15) + LEAST
                 i += 2
-                for _ in range(k):
-                    out.append(out[-d] if d <= len(out) else 0)
+                for m in range(k):
+                    c = ring[place + m & RING - 1]
+                    out.append(c)
+                    ring[at], at = c, at + 1 & RING - 1
             else:
-                i += 2
+                return bytes(out)
+            if len(out) > most:
+                raise ValueError("the output is too large")
     return bytes(out)
 
 
+def ima4(data: bytes, channels: int = 1) -> list[list[int]]:
+    """16-bit samples of each channel from packets of 34 bytes: two of state (the predictor's top nine bits and the step's number), 64 codes of four bits, low ones first."""
+    steps = _ima_steps()
+    out: list[list[int]] = [[] for _ in range(channels)]
+    for p in range(0, len(data) // 34 * 34, 34):
+        head = int.from_bytes(data[p : p + 2], "big")
+        value, index = head & 0xFF80, min(head & 0x7F, 88)
+        value -= 0x10000 if value & 0x8000 else 0
+        for byte in data[p + 2 : p + 34]:
+            for code in (byte & 15, byte >> 4):
+                step = steps[index]
+                d = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - d if code & 8 else value + d))
+                index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                out[p // 34 % channels].append(value)
+    return out
+
+
+def _ima_steps() -> list[int]:
+    """The standard's 89 step sizes."""
+    first = [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45]
+    rest = [50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282]
+    last = [1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767]
+    return first + rest + last
+
+
+def pcm(data: bytes, bits: int, signed: bool, order: str = "big") -> list[int]:
+    """Samples of 8, 16, 24 or 32 bits as signed numbers; a cut-off sample at the end is dropped."""
+    n, shift = bits // 8, 0 if signed else 1 << bits - 1
+    return [int.from_bytes(data[i : i + n], order, signed=signed) - shift for i in range(0, len(data) // n * n, n)]
+
+
 def to_hqx(data: bytes) -> bytes:
     """RLE90, then six bits a character, in colons and lines of 64."""
     bits = np.unpackbits(np.frombuffer(rle90(data), np.uint8))

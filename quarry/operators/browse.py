@@ -12,6 +12,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.links import hfs_fold
+from quarry.scratch import stored
+
 #: Levels of nesting a walk follows at most; deeper nodes, and loops, have no path (the checks report them).
 MAX_DEPTH = 100
 
@@ -30,13 +33,21 @@ def flag_names(flags: Column, names: Mapping[int, str]) -> Column:
 
 
 def ancestors(entries: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, ancestor, distance) for every entry, itself (distance 0) and each entry above it, up to depth levels."""
-    step = entries.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    known, reach = step, 1
+    """(id, ancestor, distance) for every entry, itself (distance 0) and each entry above it, up to depth levels.
+
+    Up to four levels the two doublings are one plan; deeper, each doubling is a stored table, and the walk ends with the first that finds nothing new.
+    """
+    known, reach = entries.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")), 1
     while reach < depth:
+        if depth > 4:
+            known = stored(known)
         far = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.id"))
-        far = far.select("a.id", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance")).where(f"distance > {reach} and distance <= {min(2 * reach, depth)}")
-        known, reach = known.unionByName(far.distinct()), 2 * reach
+        far = far.select("a.id", "b.ancestor", (F.col("a.distance") + F.col("b.distance")).alias("distance")).where(f"distance > {reach} and distance <= {min(2 * reach, depth)}").distinct()
+        if depth > 4:
+            far = stored(far)
+            if far.isEmpty():
+                break
+        known, reach = known.unionByName(far), 2 * reach
     return known.unionByName(entries.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")))
 
 
@@ -53,14 +64,14 @@ def glob_regex(pattern: str) -> str:
 
 
 def name_matches(name: Column, pattern: str) -> Column:
-    """Name equality without regard to case, or a glob where the pattern has wildcards."""
+    """Name equality as an HFS catalog has it, or a glob without regard to case where the pattern has wildcards."""
     if not set(pattern) & set("*?"):
-        return F.lower(name) == pattern.lower()
+        return hfs_fold(name) == hfs_fold(F.lit(pattern))
     return name.rlike(glob_regex(pattern))
 
 
-def find(entries: DataFrame, kind: str | None = None, name: str | None = None, type_: str | None = None, max_depth: int | None = None) -> DataFrame:
-    """Conjunction of criteria, the cheap ones first; folders fail any criterion on files."""
+def find(entries: DataFrame, kind: str | None = None, name: str | None = None, type_: str | None = None, max_depth: int | None = None, creator: str | None = None) -> DataFrame:
+    """Conjunction of criteria, the cheap ones first; folders fail any criterion on files. creator needs a column of that name."""
     out = entries
     if max_depth is not None:
         out = out.where(F.col("depth") <= max_depth)
@@ -68,11 +79,20 @@ def find(entries: DataFrame, kind: str | None = None, name: str | None = None, t
         out = out.where(F.col("kind") == kind)
     if type_ is not None:
         out = out.where((F.col("kind") != "folder") & (F.col("type") == type_))
+    if creator is not None:
+        out = out.where((F.col("kind") != "folder") & (F.col("creator") == creator))
     if name is not None:
         out = out.where(name_matches(F.col("name"), name))
     return out
 
 
+def container_depth(entries: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """entries with depth: how many containers stand above each; folders cost no depth."""
+    kinds = entries.where("kind = 'container'").select(F.col("id").alias("ancestor"))
+    above = ancestors(entries, depth).where("distance > 0").join(kinds, "ancestor").groupBy("id").agg(F.count("*").cast("int").alias("depth"))
+    return entries.drop("depth").join(above, "id", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+
+
 def contains_bytes(data: Column, needle: bytes, limit: int = 64 << 20) -> Column:
     """Whether the bytes hold the needle; data of over limit bytes are skipped, an empty needle matches."""
     return (F.octet_length(data) <= limit) & F.contains(data, F.unhex(F.lit(needle.hex())))

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from quarry.plans import catalog_queries, check_queries, container_queries, scalar_queries  # noqa: F401
+from quarry.plans import catalog_queries, check_queries, container_queries, link_queries, scalar_queries  # noqa: F401

@@ -200,20 +200,37 @@ def probe(data: bytes, readers: list | None = None) -> Iterator[Row]:
     return iter(())
 
 
-def expand(files: DataFrame, path: str = "path", content: str = "content", own: list | None = None) -> DataFrame:
-    """One row for each file inside the given files; own: readers that come before the built-in ones."""
-    readers = [*(own or []), *READERS]
+def every_reader() -> list[Callable[[bytes], Iterator[Row] | None]]:
+    """All built-in readers in order of probing, volumes and archives included."""
+    from quarry.sources.volumes import ALL
+
+    return ALL
+
+
+def nested(data: bytes, readers: list, depth: int) -> Iterator[Row]:
+    """The rows of a container, and of containers in their data, down to depth levels; a file inside has the container's folder and name as its folder."""
+    for r in probe(data, readers):
+        yield r
+        if depth > 1 and r["data"] and len(r["data"]) < len(data) << 10:
+            for inner in nested(r["data"], readers, depth - 1):
+                yield {**inner, "format": f"{r['format']} > {inner['format']}", "folder": [*r["folder"], r["name"], *inner["folder"]]}
+
+
+def expand(files: DataFrame, path: str = "path", content: str = "content", own: list | None = None, depth: int = 1) -> DataFrame:
+    """One row for each file inside the given files, and inside what these hold, down to depth levels; own: readers that come before the built-in ones."""
     names = [f.split()[0] for f in SCHEMA.split(", ")]
+    schema = pa.schema([(n, {"folder": pa.list_(pa.string()), "data": pa.binary(), "resource": pa.binary(), "created": pa.int64(), "modified": pa.int64()}.get(n, pa.string())) for n in names])
 
     def run(batches):
+        readers = [*(own or []), *every_reader()]
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for r in probe(c or b"", readers):
-                    yield pa.RecordBatch.from_pylist([{"path": p, **r}], schema=pa.schema([(n, {"folder": pa.list_(pa.string()), "data": pa.binary(), "resource": pa.binary(), "created": pa.int64(), "modified": pa.int64()}.get(n, pa.string())) for n in names]))
+                for r in nested(c or b"", readers, depth):
+                    yield pa.RecordBatch.from_pylist([{"path": p, **r}], schema=schema)
 
     return files.select(path, content).mapInArrow(run, SCHEMA)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """The containers below a path, expanded one level."""
-    return expand(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+def read_files(spark: SparkSession, path: str, depth: int = 8) -> DataFrame:
+    """The containers below a path, expanded down to depth levels."""
+    return expand(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), depth=depth)

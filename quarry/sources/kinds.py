@@ -33,4 +33,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             rows = [r for t in batch.column(0).to_pylist() for r in parse(t or "")]
             yield pa.RecordBatch.from_pylist([dict(zip(("type", "creator", "kind", "ordinal"), r, strict=True)) for r in rows], schema=pa.schema([("type", pa.string()), ("creator", pa.string()), ("kind", pa.string()), ("ordinal", pa.int64())]))
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(run, SCHEMA)
+    return spark.read.text(path, wholetext=True).mapInArrow(run, SCHEMA)

@@ -16,25 +16,27 @@ LARGEST = 1 << 30
 
 
 def adc(data: bytes, size: int) -> bytes:
-    """Apple Data Compression: literals, and copies with short or long distance."""
+    """Apple Data Compression: literals, and copies with short or long distance. A token that passes the end of the output, a copy from before its
+    start and input that ends before the output is full are errors."""
     out, i = bytearray(), 0
-    while i < len(data) and len(out) < size:
+    while len(out) < size:
+        need = 1 if i >= len(data) else (data[i] & 0x7F) + 2 if data[i] & 0x80 else 3 if data[i] & 0x40 else 2
+        if i + need > len(data):
+            raise ValueError("the input ends too early")
         c = data[i]
+        n = need - 1 if c & 0x80 else (c & 0x3F) + 4 if c & 0x40 else (c >> 2) + 3
+        if len(out) + n > size:
+            raise ValueError("a token passes the end of the output")
         if c & 0x80:
-            n = (c & 0x7F) + 1
-            out += data[i + 1 : i + 1 + n]
-            i += 1 + n
-            continue
-        if c & 0x40:
-            n, back, step = (c & 0x3F) + 4, int.from_bytes(data[i + 1 : i + 3], "big") + 1, 3
+            out += data[i + 1 : i + need]
         else:
-            n, back, step = (c >> 2 & 0x0F) + 3, ((c & 3) << 8 | (data[i + 1] if i + 1 < len(data) else 0)) + 1, 2
-        if back > len(out):
-            raise ValueError("copy from before the start")
-        for _ in range(n):
-            out.append(out[-back])
-        i += step
-    return bytes(out[:size])
+            back = 1 + (int.from_bytes(data[i + 1 : i + 3], "big") if c & 0x40 else (c & 3) << 8 | data[i + 1])
+            if back > len(out):
+                raise ValueError("copy from before the start")
+            for _ in range(n):
+                out.append(out[-back])
+        i += need
+    return bytes(out)
 
 
 DECODE = {1: lambda b, n: b, 0x80000004: adc, 0x80000005: lambda b, n: zlib.decompress(b), 0x80000006: lambda b, n: bz2.decompress(b), 0x80000008: lambda b, n: lzma.decompress(b)}
@@ -75,7 +77,10 @@ def udif(b: bytes) -> Iterator[Row] | None:
                         out[first] = bytes(count * 512)
                 elif kind not in (0x7FFFFFFE, 0xFFFFFFFF):
                     note = f"chunk {i} is of an unknown kind"
-            disk = b"".join(out[k] for k in sorted(out))
-            yield _row("UDIF", str(t.get("Name", "")), data=disk, diagnostic=note or (None if len(disk) == sectors * 512 else "chunks do not cover the disk"))
+            disk, covered = bytearray(min(sectors * 512, LARGEST)), 0
+            for first, chunk in sorted(out.items()):  # each at its own sector; holes stay zero
+                disk[first * 512 : first * 512 + len(chunk)] = chunk[: max(0, len(disk) - first * 512)]
+                covered += len(chunk)
+            yield _row("UDIF", str(t.get("Name", "")), data=bytes(disk), diagnostic=note or (None if covered == sectors * 512 else "chunks do not cover the disk"))
 
     return rows()

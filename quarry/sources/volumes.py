@@ -7,6 +7,7 @@ import binascii
 import re
 from collections.abc import Iterator
 
+from quarry.sources import archives
 from quarry.sources.containers import READERS, Row, _row
 from quarry.sources.hfs import hfs
 from quarry.sources.udif import udif
@@ -180,4 +181,4 @@ def cue_sheet(b: bytes) -> Iterator[Row] | None:
 
 
 #: Probed after the readers of containers.
-ALL = [*READERS, udif, hfs, iso9660, fat, uuencode, cue_sheet]
+ALL = [*READERS[:-1], *archives.READERS, udif, hfs, iso9660, fat, READERS[-1], uuencode, cue_sheet]

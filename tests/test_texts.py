@@ -34,7 +34,7 @@ def test_kinds(spark, tmp_path):
 
 
 def test_udif():
-    assert udif.adc(b"\x82abc\x00\x02\x40\x00\x00", 99) == b"abcabccccc"
+    assert udif.adc(b"\x82abc\x00\x02\x40\x00\x00", 10) == b"abcabccccc"
     a, c = b"A" * 1024, bytes(range(256)) * 4
     chunks, body, table = [(0x80000005, a, zlib.compress(a)), (0x80000006, c, bz2.compress(c)), (2, bytes(512), b""), (1, c, c)], b"", b""
     first = 0
