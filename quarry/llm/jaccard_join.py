@@ -214,7 +214,7 @@ def _merged(lists: DataFrame) -> DataFrame:
     apart = heads.groupBy("a").agg(F.sum(F.col("c") * F.col("c")).alias("apart"))
     union = rows.select("a", "id").distinct().groupBy("a").agg(F.count("*").cast("double").alias("u"))
     whole = apart.join(union, "a").where("u * u < apart").select("a", F.lit(True).alias("whole"))
-    rows = rows.join(whole, "a", "left").withColumn("list", F.when(F.col("whole"), F.xxhash64("a", F.lit("merged"))).otherwise(F.col("list")))
+    rows = lists.join(heads.join(whole, "a", "left").select("list", "a", "whole"), "list").withColumn("list", F.when(F.col("whole"), F.xxhash64("a", F.lit("merged"))).otherwise(F.col("list")))
     rows = rows.groupBy("list", "id", "n").agg(F.sum("m").alias("m"), F.max("pos").alias("pos"), F.any_value("whole").alias("whole"))
     return rows.select("list", "id", "n", F.when(F.col("whole"), F.col("n")).otherwise(F.col("m")).alias("m"), F.when(F.col("whole"), 0).otherwise(F.col("pos")).alias("pos"))
 
