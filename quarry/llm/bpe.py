@@ -337,7 +337,7 @@ def frequent_words(docs: DataFrame, folder: str, path: str, size: int = LEXICON,
 
     counts = docs.select(docs[text_col].cast("string")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = common.table(counts, folder, "words")
-    top = counts.where(F.length("word") <= LONG).orderBy(F.col("n").desc(), "word").limit(size)
+    top = common.most_frequent(counts.where(F.length("word") <= LONG), size)
     words = [bytes(w) for w in top.select("word").toArrow()["word"].to_pylist()]  # of size words at most
     common.drop(docs.sparkSession, folder, "words")
     return words

@@ -78,7 +78,9 @@ def vocabulary(docs: DataFrame, text_col: str = "text", size: int = VOCABULARY)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     counts = docs.select(docs[text_col].cast("string")).mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "word").limit(size).select("word").toArrow()  # of size rows at most
+    folder = common.scratch(docs.sparkSession)
+    top = common.most_frequent(common.table(counts, folder, "words"), size).select("word").toArrow()  # of size rows at most
+    common.drop(docs.sparkSession, folder, "words")
     return np.sort(top["word"].to_numpy().astype(np.int64).view(U))
 
 
