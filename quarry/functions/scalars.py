@@ -49,11 +49,6 @@ def signed(data: Column, position: int, length: int) -> Column:
     return F.when(u >= 1 << (8 * length - 1), u - (1 << 8 * length)).otherwise(u)
 
 
-def hex_dump(data: Column, length: int) -> Column:
-    """The first bytes as upper-case hex pairs."""
-    return F.trim(F.regexp_replace(F.hex(F.substring(data, 1, length)), "(..)", "$1 "))
-
-
 _HIGH = "".join(map(chr, range(128, 256)))
 
 

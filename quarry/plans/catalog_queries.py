@@ -133,47 +133,25 @@ def asof_run(t: Tables):
     return lookups.as_of(points, runs, "user_id", "ts", "start", ["value"]).select("event_id", "value")
 
 
-@query(f"WITH {EXTENTS_SQL}, b AS (SELECT p_partkey AS block FROM part WHERE p_size = 7) SELECT owner, start, block FROM x JOIN b ON block >= start AND block < start + count")
-def extent_range_join(t: Tables):
-    free = t.part.where("p_size = 7").select(F.col("p_partkey").alias("block"))
-    return lookups.range_join(free, extents(t), "block", "start", "count", 64).select("owner", "start", "block")
-
-
 @query(f"WITH {EXTENTS_SQL} SELECT owner, start, p_partkey AS block FROM x JOIN part ON p_partkey >= start AND p_partkey < start + count")
-def extent_range_join_all(t: Tables):
-    """extent_range_join with every part as a block."""
+def extent_range_join(t: Tables):
     return lookups.range_join(t.part.select(F.col("p_partkey").alias("block")), extents(t), "block", "start", "count", 64).select("owner", "start", "block")
 
 
-@query("WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 4) SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus IS DISTINCT FROM b.o_orderstatus OR a.o_totalprice IS DISTINCT FROM b.o_totalprice")
-def snapshot_diff(t: Tables):
-    a = t.orders.where("o_orderkey % 10 <> 3")
-    b = t.orders.where("o_orderkey % 10 <> 4").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return lookups.snapshot_diff(a, b, "o_orderkey", ["o_orderstatus", "o_totalprice"])
-
-
 @query("WITH a AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS priority FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' GROUP BY 1), b AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS priority FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01' OR o_orderdate IS NULL GROUP BY 1) SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, CASE WHEN a.o_custkey IS NULL THEN 'added' WHEN b.o_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.o_custkey = b.o_custkey WHERE a.o_custkey IS NULL OR b.o_custkey IS NULL OR a.status IS DISTINCT FROM b.status OR a.priority IS DISTINCT FROM b.priority")
-def snapshot_diff_all(t: Tables):
-    """snapshot_diff of two sides that are in the data: each customer's last order before 2000 and from 2000 on; every order is on one side."""
+def snapshot_diff(t: Tables):
+    """Two sides that are in the data: each customer's last order before 2000 and from 2000 on; every order is on one side."""
     last = [F.max_by("o_orderstatus", "o_orderkey").alias("status"), F.max_by("o_orderpriority", "o_orderkey").alias("priority")]
     old = F.coalesce(F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"), F.lit(False))
     a, b = (t.orders.where(side).groupBy("o_custkey").agg(*last) for side in (old, ~old))
     return lookups.snapshot_diff(a, b, "o_custkey", ["status", "priority"])
 
 
-@query("""WITH RECURSIVE g AS (SELECT event_id AS s, (event_id * 7 + 3) % 500 AS d FROM events WHERE event_id < 500),
-w AS (SELECT s AS source, [s] AS seen, FALSE AS looped, 0 AS n FROM g UNION ALL SELECT source, CASE WHEN list_contains(seen, d) THEN seen ELSE list_append(seen, d) END, looped OR list_contains(seen, d), n + 1 FROM w JOIN g ON g.s = seen[-1] WHERE n < 10)
-SELECT source, seen[-1] AS last, (len(seen) - 1)::BIGINT AS hops, looped FROM w WHERE n = 10""")
-def bounded_follow(t: Tables):
-    edges = t.events.where("event_id < 500").select("event_id", ((F.col("event_id") * 7 + 3) % 500).alias("to"))
-    return lookups.follow(edges, "event_id", "to", 10)
-
-
 @query("""WITH RECURSIVE k AS (SELECT count(*) AS c FROM events), g AS (SELECT event_id AS s, (event_id * 7 + 3) % c AS d FROM events, k),
 w AS (SELECT s AS source, [s] AS seen, FALSE AS looped, 0 AS n FROM g UNION ALL SELECT source, CASE WHEN d IS NULL OR list_contains(seen, d) THEN seen ELSE list_append(seen, d) END, looped OR coalesce(list_contains(seen, d), FALSE), n + 1 FROM w LEFT JOIN g ON g.s = seen[-1] WHERE n < 10)
 SELECT source, seen[-1] AS last, (len(seen) - 1)::BIGINT AS hops, looped FROM w WHERE n = 10""")
-def bounded_follow_all(t: Tables):
-    """bounded_follow over every event: the targets are folded to the table's own count."""
+def bounded_follow(t: Tables):
+    """Follows every event: the targets are folded to the table's own count."""
     n = t.events.agg(F.count("*").alias("n"))
     edges = t.events.crossJoin(F.broadcast(n)).select("event_id", ((F.col("event_id") * 7 + 3) % F.col("n")).alias("to"))
     return lookups.follow(edges, "event_id", "to", 10)

@@ -30,15 +30,8 @@ def fragmentation(t: Tables):
     return checks.fragmentation(extents(t), "owner", "start", "count")
 
 
-@query(f"WITH {EXTENTS_SQL} SELECT owner, count(DISTINCT b)::BIGINT AS used FROM (SELECT owner, unnest(range(start, start + count)) AS b FROM x WHERE owner % 5 = 1) GROUP BY 1", name="bitmap_usage_by_owner")
-def bitmap_usage_by_owner(t: Tables):
-    blocks = extents(t).where("owner % 5 = 1 and count > 0").select("owner", F.explode(F.sequence("start", F.col("start") + F.col("count") - 1)).alias("b"))
-    return blocks.groupBy("owner").agg(F.countDistinct("b").alias("used"))
-
-
 @query(f"WITH {EXTENTS_SQL} SELECT owner, count(DISTINCT b)::BIGINT AS used FROM (SELECT owner, unnest(range(start, start + count)) AS b FROM x) GROUP BY 1")
-def bitmap_usage_by_owner_all(t: Tables):
-    """bitmap_usage_by_owner for every owner."""
+def bitmap_usage_by_owner(t: Tables):
     return checks.blocks_used(extents(t), "owner", "start", "count")
 
 
@@ -82,10 +75,10 @@ def diag_summary(t: Tables):
     return d.withColumn("position", F.row_number().over(Window.orderBy(F.col("severity").desc(), "event_type")))
 
 
-@query("SELECT CASE WHEN m >= 3 THEN 'damaged' WHEN m = 2 THEN 'minor problems' WHEN m = 1 THEN 'notes' ELSE 'appears to be OK' END AS verdict, user_id FROM (SELECT user_id, max(CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END) AS m FROM events WHERE value > 60 GROUP BY 1)")
+@query("SELECT CASE WHEN m >= 3 THEN 'damaged' WHEN m = 2 THEN 'minor problems' WHEN m = 1 THEN 'notes' ELSE 'appears to be OK' END AS verdict, user_id FROM (SELECT user_id, max(CASE WHEN value > 60 THEN CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 1 ELSE 0 END ELSE 0 END) AS m FROM events GROUP BY 1)")
 def check_verdict(t: Tables):
     rank = F.when(F.col("event_type") == "error", 3).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 1).otherwise(0)
-    return t.events.where("value > 60").groupBy("user_id").agg(F.max(rank).alias("m")).select("user_id", checks.verdict(F.col("m")).alias("verdict"))
+    return t.events.groupBy("user_id").agg(F.max(F.when(F.col("value") > 60, rank).otherwise(0)).alias("m")).select("user_id", checks.verdict(F.col("m")).alias("verdict"))
 
 
 @query("""WITH f AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 5 END AS no,
@@ -132,14 +125,9 @@ def key_order(t: Tables):
     return t.orders.withColumn("before", F.lag("o_orderdate").over(w)).where("o_orderdate <= before").select("o_custkey", "o_orderkey")
 
 
-@query("WITH u AS (SELECT o_orderkey AS i FROM orders WHERE o_orderkey % 1000 <> 777) SELECT min(c.i)::BIGINT AS next_id FROM (SELECT unnest(range(128, 32768)) AS i) c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.i = c.i)")
-def next_free_id(t: Tables):
-    return ordered.next_free(t.orders.where("o_orderkey % 1000 <> 777"), "o_orderkey", 128, 32767)
-
-
 @query("WITH u AS (SELECT DISTINCT l_orderkey AS i FROM lineitem) SELECT coalesce((SELECT min(c.i) FROM (SELECT unnest(range(128, 32768)) AS i) c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.i = c.i)), (SELECT max(c.i) FROM (SELECT unnest(range(0, 128)) AS i) c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.i = c.i)))::BIGINT AS next_id")
-def next_free_id_all(t: Tables):
-    """next_free_id with every line's order as a used id: the gaps are the orders without lines."""
+def next_free_id(t: Tables):
+    """Every line's order as a used id: the gaps are the orders without lines."""
     return ordered.next_free(t.lineitem, "l_orderkey", 128, 32767)
 
 

@@ -40,13 +40,8 @@ def crc16_text(t: Tables):
     return t.documents.select("doc_id", codecs.crc16_column(F.col("text").cast("binary"), 0x1021, False).alias("xmodem"), codecs.crc16_column(F.col("text").cast("binary"), 0xA001, True).alias("arc"))
 
 
-@query("SELECT doc_id, regexp_replace(hex(substr(text, 1, 8)::BLOB), '(..)', '\\1 ', 'g').rtrim() AS dump FROM documents WHERE regexp_full_match(substr(text, 1, 8), '[ -~]*')")
-def hex_dump(t: Tables):
-    return t.documents.where(F.substring("text", 1, 8).rlike(r"^[ -~]*\z")).select("doc_id", scalars.hex_dump(F.col("text").cast("binary"), 8).alias("dump"))
-
-
 @query()
-def hex_dump_all(t: Tables):
+def hex_dump(t: Tables):
     """Every document's whole dump."""
     return t.documents.select("doc_id", scalars.hex_lines(F.col("text").cast("binary")).alias("dump"))
 
@@ -93,15 +88,9 @@ def json_props(t: Tables):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT doc_id, ('0x' || hex(substr(text, 1, 2)::BLOB))::BIGINT AS word, ascii(substr(text, 3, 1))::BIGINT AS byte, substr(text, 4, 4) AS code FROM documents WHERE regexp_full_match(substr(text, 1, 8), '[ -~]{8}')")
-def template_fields(t: Tables):
-    d = t.documents.where(F.substring("text", 1, 8).rlike(r"^[ -~]{8}\z"))
-    return templates.fixed_fields(d.select("doc_id", F.col("text").cast("binary").alias("data")), "data", [("word", "DWRD"), ("byte", "DBYT"), ("code", "TNAM")])
-
-
 @query()
-def template_fields_all(t: Tables):
-    """template_fields of every document, whatever its first bytes are; fields that the text is too short for are null."""
+def template_fields(t: Tables):
+    """Fields of every document, whatever its first bytes are; fields that the text is too short for are null."""
     return templates.fixed_fields(t.documents.select("doc_id", F.col("text").cast("binary").alias("data")), "data", [("word", "DWRD"), ("byte", "DBYT"), ("code", "TNAM")])
 
 

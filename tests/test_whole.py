@@ -21,24 +21,24 @@ def test_bounded_follow_takes_every_event(spark):
             if not looped and nxt is not None:
                 seen.append(nxt)
         want.append((i, seen[-1], len(seen) - 1, looped))
-    assert len(ids) > 500 and got(spark, "bounded_follow_all", "source", "last", "hops", "looped") == sorted(want)
+    assert len(ids) > 500 and got(spark, "bounded_follow", "source", "last", "hops", "looped") == sorted(want)
 
 
-def test_cuts_by_modulo_have_whole_forms(spark):
+def test_joins_and_gaps_take_every_row(spark):
     t = Tables(spark, SF)
     lines = t.lineitem.groupBy("l_orderkey", "l_partkey").agg({"l_quantity": "sum"}).collect()
     used, parts = {}, {r[0] for r in t.part.select("p_partkey").collect()}
     for owner, start, n in lines:
         used.setdefault(owner, set()).update(range(start, start + int(n)))
-    assert got(spark, "bitmap_usage_by_owner_all", "owner", "used") == sorted((o, len(b)) for o, b in used.items() if b)
-    assert got(spark, "extent_range_join_all", "owner", "start", "block") == sorted((o, s, b) for o, s, n in lines for b in range(s, s + int(n)) if b in parts)
-    assert got(spark, "next_free_id_all", "next_id") == [(min(set(range(128, 32768)) - set(used)),)]
+    assert got(spark, "bitmap_usage_by_owner", "owner", "used") == sorted((o, len(b)) for o, b in used.items() if b)
+    assert got(spark, "extent_range_join", "owner", "start", "block") == sorted((o, s, b) for o, s, n in lines for b in range(s, s + int(n)) if b in parts)
+    assert got(spark, "next_free_id", "next_id") == [(min(set(range(128, 32768)) - set(used)),)]
     sides = {}, {}
     for c, k, day, *v in sorted(tuple(r) for r in t.orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority").collect()):
         sides[day.year >= 2000][c] = v
     a, b = sides
     change = {c: "added" if c not in a else "removed" if c not in b else "changed" for c in {*a, *b} if a.get(c) != b.get(c)}
-    assert change and got(spark, "snapshot_diff_all", "o_custkey", "change") == sorted(change.items())
+    assert change and got(spark, "snapshot_diff", "o_custkey", "change") == sorted(change.items())
 
 
 def test_blocks_used_counts_overlaps_once(spark):
@@ -66,8 +66,8 @@ def plain_fields(b):
 def test_dump_and_fields_take_every_document(spark):
     docs = {i: x.encode() for i, x in Tables(spark, SF).documents.select("doc_id", "text").collect()}
     assert any(max(b[:8]) > 0x7F for b in docs.values())
-    assert got(spark, "hex_dump_all", "doc_id", "dump") == sorted((i, plain_dump(b)) for i, b in docs.items())
-    assert got(spark, "template_fields_all", "doc_id", "word", "byte", "code") == sorted((i, *plain_fields(b)) for i, b in docs.items())
+    assert got(spark, "hex_dump", "doc_id", "dump") == sorted((i, plain_dump(b)) for i, b in docs.items())
+    assert got(spark, "template_fields", "doc_id", "word", "byte", "code") == sorted((i, *plain_fields(b)) for i, b in docs.items())
 
 
 def test_dump_and_fields_of_any_bytes(spark):
