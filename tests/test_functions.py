@@ -1,14 +1,18 @@
 """Scalar functions, codecs, templates and containers; damaged bytes give diagnostics, never errors."""
 
+import base64
 import io
 import random
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import codecs, scalars, templates
+from quarry.registry import Tables
 from quarry.sources import containers, resource_fork, writers
 
 
@@ -40,6 +44,58 @@ def test_codecs_round_trip(data):
         assert back(to(data)) == data, name
 
 
+def peak(f, *args):
+    """What f returns, and the bytes that it held at most."""
+    tracemalloc.start()
+    out = f(*args)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_codecs_hold_little_more_than_their_data(monkeypatch):
+    data = random.Random(3).randbytes(400_000)
+    text, held = peak(codecs.to_hqx, data)
+    assert held < 12 * len(data)
+    plain = base64.b64encode(codecs.rle90(data)).rstrip(b"=").translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", codecs.HQX))
+    assert b"".join(text.removeprefix(codecs.BANNER).split()) == b":" + plain + b":"
+    back, held = peak(codecs.from_hqx, text)
+    assert back == data and held < 12 * len(data)
+    assert codecs.from_hqx(text[:-300] + b"~" + text[-299:]) is None
+    packed, held = peak(codecs.lzss, data)
+    assert held < 60 * len(data)
+    monkeypatch.setattr(codecs, "KEYS", 1 << 30)
+    assert codecs.lzss(data) == packed
+    text = b"".join(b"%d words and %d words, " % (i * i % 977, i) for i in range(9000))
+    whole = codecs.lzss(text)
+    monkeypatch.setattr(codecs, "KEYS", 5000)
+    assert codecs.lzss(text) == whole and len(whole) < len(text) and codecs.unlzss(whole) == text
+
+
+def test_round_trips_of_any_rows(spark):
+    rows = [(1, bytearray(b"abc" * 50)), (2, bytearray()), (3, None), (None, bytearray(b"\x90" * 9))]
+    out = codecs.roundtrips(spark.createDataFrame(rows, "i int, b binary"), "i", "b")
+    assert out.columns == ["i", "n", *codecs.CODECS]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(i, len(b or b""), *[True] * 4) for i, b in rows], key=str)
+    assert out.where("i > 9").count() == 0
+
+
+def test_workers_get_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    keys = {k: spark.conf.get(k) for k in (key, "spark.sql.execution.arrow.maxBytesPerBatch")}
+    try:
+        spark.conf.set(key, "10000")
+        Tables(spark, "")
+        sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+        assert sum(r[0] for r in sizes) == 5000 and max(r[0] for r in sizes) <= 1000
+        spark.conf.set(key, "10")
+        Tables(spark, "")
+        assert spark.conf.get(key) == "10"
+    finally:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+
+
 def test_crc16():
     assert codecs.crc16([b"123456789", b""], 0x1021, False).tolist() == [0x31C3, 0]
     assert codecs.crc16([b"123456789", b"", b"1"], 0xA001, True).tolist()[:2] == [0xBB3D, 0]
