@@ -101,6 +101,36 @@ def test_crc16():
     assert codecs.crc16([b"123456789", b"", b"1"], 0xA001, True).tolist()[:2] == [0xBB3D, 0]
 
 
+def plain_crc16(data, polynomial, reflected):
+    crc = 0
+    for b in data:
+        crc ^= b if reflected else b << 8
+        for _ in range(8):
+            crc = crc >> 1 ^ polynomial * (crc & 1) if reflected else (crc << 1 ^ polynomial * (crc >> 15)) & 0xFFFF
+    return crc
+
+
+def test_crc16_of_long_rows_holds_little_more_than_a_group(monkeypatch):
+    r = random.Random(5)
+    rows = [r.randbytes(n) for n in (0, 1, 127, 128, 129, 0, 255, 256, 257, 5000, 3)] + [bytes(300), b"\0" + b"a" * 128, b"\xff" * 128 + b"\0"]
+    for group in (1, 1000, 1 << 20):
+        monkeypatch.setattr(codecs, "GROUP", group, raising=False)
+        for polynomial, reflected in ((0xA001, True), (0x8408, True), (0x8005, False), (0x1021, False)):
+            assert codecs.crc16(rows, polynomial, reflected).tolist() == [plain_crc16(x, polynomial, reflected) for x in rows]
+            assert codecs.crc16([], polynomial, reflected).tolist() == [] and codecs.crc16([b""], polynomial, reflected).tolist() == [0]
+    many = [bytes([i % 251]) * 40_000 for i in range(400)]
+    got, held = peak(codecs.crc16, many, 0xA001, True)
+    assert held < sum(map(len, many)) // 2
+    assert got[0] == 0 and got[1] == plain_crc16(many[1], 0xA001, True)
+
+
+def test_crc16_column_of_any_rows(spark):
+    rows = [(1, bytearray(b"123456789")), (2, bytearray()), (3, None), (None, bytearray(b"1" * 300))]
+    d = spark.createDataFrame(rows, "i int, b binary").select("i", *(codecs.crc16_column(F.col("b"), p, r).alias(n) for p, r, n in ((0x1021, False, "x"), (0xA001, True, "a"))))
+    want = [(i, *(None if b is None else plain_crc16(b, p, r) for p, r in ((0x1021, False), (0xA001, True)))) for i, b in rows]
+    assert sorted((tuple(r) for r in d.collect()), key=str) == sorted(want, key=str)
+
+
 def test_templates(spark):
     assert templates.check([("LSTC", "x"), ("LSTE", "")]) == ["list without a count"] and templates.check([("NOPE", "x")]) == ["unknown type NOPE"]
     t = [("OCNT", "n"), ("LSTC", "items"), ("PSTR", "s"), ("LSTE", ""), ("DWRD", "w")]
