@@ -1,6 +1,5 @@
 """Scalar functions, codecs, templates and containers; damaged bytes give diagnostics, never errors."""
 
-import base64
 import io
 import random
 import tracemalloc
@@ -57,11 +56,13 @@ def test_codecs_hold_little_more_than_their_data(monkeypatch):
     data = random.Random(3).randbytes(400_000)
     text, held = peak(codecs.to_hqx, data)
     assert held < 12 * len(data)
-    plain = base64.b64encode(codecs.rle90(data)).rstrip(b"=").translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", codecs.HQX))
+    bits = "".join(f"{b:08b}" for b in codecs.rle90(data))
+    plain = bytes(codecs.HQX[int(bits[i : i + 6].ljust(6, "0"), 2)] for i in range(0, len(bits), 6))
     assert b"".join(text.removeprefix(codecs.BANNER).split()) == b":" + plain + b":"
     back, held = peak(codecs.from_hqx, text)
     assert back == data and held < 12 * len(data)
     assert codecs.from_hqx(text[:-300] + b"~" + text[-299:]) is None
+    assert [codecs.from_hqx(b":" + plain[:n] + b":") for n in range(5)] == [data[: n * 6 // 8] for n in range(5)]
     packed, held = peak(codecs.lzss, data)
     assert held < 60 * len(data)
     monkeypatch.setattr(codecs, "KEYS", 1 << 30)
