@@ -15,7 +15,7 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +80,9 @@ class Coder:
             spec = json.load(f)
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
-        self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.tokens = [""] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
+        for t, i in [*vocab.items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
+            self.tokens[i] = t
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.apart = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -91,10 +93,14 @@ class Coder:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = np.array([(vocab[a], vocab[b]) for a, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        self.pairs = {(int(a), int(b)): r for r, (a, b) in reversed(list(enumerate(ids.tolist())))}
-        first = np.unique(ids[:, 0] << 32 | ids[:, 1], return_index=True)
+        self._keys, self._first = np.unique(ids[:, 0] << 32 | ids[:, 1], return_index=True)
         self.ranks = HashTable(18)
-        self.ranks.add(first[0].astype(U) + U(1), first[1])
+        self.ranks.add(self._keys.astype(U) + U(1), self._first)
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank of each pair a << 32 | b, for words too long for arrays; made when the first one comes."""
+        return dict(zip(self._keys.tolist(), self._first.tolist(), strict=True))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         r = self.ranks.find((a.astype(np.int64) << 32 | b).astype(U).ravel() + U(1)).reshape(a.shape)
@@ -118,21 +124,21 @@ class Coder:
     def merge_long(self, word: bytes) -> list[int]:
         """The ids of one word of any length: a heap of (rank, place) over a linked list."""
         ids = [*self.inner[np.frombuffer(word[:-1], np.uint8)].tolist(), int(self.last[word[-1]])]
-        n, made = len(ids), self.made.tolist()
+        n, made, pairs = len(ids), self.made.tolist(), self.pairs
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := pairs.get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
             j = after[i]
-            if ids[i] < 0 or j < 0 or self.pairs.get((ids[i], ids[j])) != r:
+            if ids[i] < 0 or j < 0 or pairs.get(ids[i] << 32 | ids[j]) != r:
                 continue
             ids[i], ids[j], after[i] = made[r], -1, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
-                if (r := self.pairs.get((ids[i], ids[after[i]]))) is not None:
+                if (r := pairs.get(ids[i] << 32 | ids[after[i]])) is not None:
                     heapq.heappush(heap, (r, i))
-            if before[i] >= 0 and (r := self.pairs.get((ids[before[i]], ids[i]))) is not None:
+            if before[i] >= 0 and (r := pairs.get(ids[before[i]] << 32 | ids[i])) is not None:
                 heapq.heappush(heap, (r, before[i]))
         return [x for x in ids if x >= 0]
 
@@ -233,7 +239,7 @@ def _coder(path: str) -> Coder:
 class Encoder:
     """Encodes texts; keeps what it knows of words, up to half of 2**bits of them."""
 
-    def __init__(self, path: str, lexicon: bytes | None = None, bits: int = 19):
+    def __init__(self, path: str, lexicon: bytes | None = None, bits: int = 18):
         self.coder, self.lexicon = _coder(path), Lexicon(lexicon) if lexicon else None
         self.table = HashTable(bits)
         self._forget()
@@ -299,9 +305,9 @@ class Encoder:
 
 def frequent_words(docs: DataFrame, folder: str, path: str, size: int = LEXICON, text_col: str = "text") -> list[bytes]:
     """The corpus's most frequent words of up to LONG bytes, size of them at most, ties to the smaller: all words are counted."""
-    coder = _coder(path)
 
     def count(batches):
+        coder = _coder(path)  # the worker's own: one that came with the function would be unpickled for every task
         table, words, sums = HashTable(19), [], np.zeros(1 << 19, np.int64)
 
         def out():

@@ -3,12 +3,17 @@
 import hashlib
 import itertools
 import math
+import random
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, common
+from quarry.llm import bpe, common, jaccard_join, quality, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _text string, row string, _kept string, _s int"
@@ -147,3 +152,55 @@ def test_stages_on_odd_rows(spark, odd):
 def test_stages_on_no_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.where("false"), SF).collect() == []
+
+
+class Sent(Exception):
+    """What mapInArrow was given."""
+
+
+class Docs:
+    """Stands for a DataFrame up to its mapInArrow."""
+
+    def __getitem__(self, name):
+        return F.lit("")
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):  # noqa: N802
+        raise Sent(function)
+
+
+def sent(step, *args):
+    with pytest.raises(Sent) as e:
+        step(Docs(), *args)
+    return e.value.args[0]
+
+
+def test_workers_take_little_beside_the_texts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(4000)}" for _ in range(400)) for _ in range(1000)]  # a whole Arrow batch of 2 MB
+    vocabulary = np.unique(quality.Pieces([t.encode() for t in texts]).hashes())[:1000]
+    vectors, coder = np.ones((len(vocabulary), quality.DIM), np.float32), bpe.Encoder(bpe.default_path())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    summaries, paths, count = sent(jaccard_join._summaries, 5), sent(substring_dedup._paths, 35, 8), sent(bpe.frequent_words, "", bpe.default_path())
+    steps = {
+        "contexts": lambda: quality.contexts([t.encode() for t in texts], vocabulary),
+        "features": lambda: quality.features([t.encode() for t in texts], vocabulary, vectors),
+        "summaries": lambda: [0 for _ in summaries([batch])],
+        "paths": lambda: [0 for _ in paths([batch])],
+        "count": lambda: [0 for _ in count([batch.select(["text"])])],
+        "encode": lambda: [0 for _ in coder.encode(texts)],
+    }
+    bpe._classes()
+    most = {}
+    for name, step in steps.items():
+        tracemalloc.start()
+        step()
+        most[name] = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+    assert max(most.values()) < 40, most
+
+
+def test_no_vocabulary_travels_with_the_count_of_words(spark):
+    assert len(cloudpickle.dumps(sent(bpe.frequent_words, "", bpe.default_path()))) < 1 << 17
